@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from roamframe.llm.url_reputation import split_url
 from roamframe.plans.scratch import cut, stored
+from roamframe.plans.workers import prepared
 
 #: Distinct pages and share of the host's distinct pages from which a subtree is template:
 #: outside an article, and inside one.
@@ -194,7 +195,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     columns are ignored, and an empty table gives none.
     """
     host, _ = split_url(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"))
+    rows = prepared(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"))
     fields = "page_id bigint, url string, host string, sketch bigint, blocks array<struct<text:string,hashes:array<bigint>,inside:boolean>>"
     parsed = stored(rows.mapInArrow(_parsed, fields), "pages")
     templates = cut(host_templates(parsed))

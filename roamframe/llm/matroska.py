@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roamframe.plans.workers import prepared
+
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
@@ -261,7 +263,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text's padded bytes as a Matroska file; null counts as empty."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encode, "doc_id bigint, n_bytes bigint, media binary")
+    return prepared(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encode, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def media_features(media: DataFrame) -> DataFrame:
     A file that breaks the format raises ValueError with the byte at which it does.
     """
     fields = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, fields)
+    return prepared(media).select("doc_id", "n_bytes", "media").mapInArrow(_digest, fields)
 
 
 def _tables(batches: Iterator[pa.RecordBatch], frame_ns: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,7 @@ def _tables(batches: Iterator[pa.RecordBatch], frame_ns: dict[int, int]) -> Iter
 
 def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media", frame_ns: dict[int, int] | None = None) -> DataFrame:
     """A row per packet: key, number, track, timestamp, byte range, cluster and lacing; null media have none."""
-    rows = media.select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("media"))
+    rows = prepared(media).select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("media"))
 
 
     out = rows.mapInArrow(partial(_tables, frame_ns=frame_ns or {}), ", ".join(f"{n} bigint" for n in ("key", "packet", *Packet._fields)))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamframe.llm._tokens import DEFAULT_VOCABULARY, encoder
+from roamframe.plans.workers import prepared
 
 #: Id that ends a document.
 END_ID = 1
@@ -146,4 +147,4 @@ def pack_documents(
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", prompt.alias("prompt"))
     run = partial(_pack, vocabulary=vocabulary, tokens=max_tokens, segments=max_segments, loss=max_loss_tokens)
     fields = ", ".join(f"{f.name} bigint" for f in SCHEMA)
-    return rows.mapInArrow(run, fields).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_row", "loss_tokens")
+    return prepared(rows).mapInArrow(run, fields).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_row", "loss_tokens")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamframe.llm._tokens import DEFAULT_VOCABULARY, encoder
+from roamframe.plans.workers import prepared
 
 KEYS = ("source", "lang", "tokenizer")
 AMOUNTS = ("n_docs", "n_tokens", "n_chars")
@@ -39,7 +40,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
     extra = [F.col("old_tokens").cast("bigint").alias("old_tokens")] if "old_tokens" in docs.columns else []
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), *extra, "text")
     fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(partial(_counted, vocabulary=vocabulary), f"{fields}, n_tokens bigint")
+    return prepared(rows).mapInArrow(partial(_counted, vocabulary=vocabulary), f"{fields}, n_tokens bigint")
 
 
 def inserted(rows: DataFrame, tokenizer: str) -> DataFrame:
