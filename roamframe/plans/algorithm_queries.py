@@ -86,19 +86,19 @@ def recurse_deepest_paths(spark: SparkSession, sf: str) -> DataFrame:
     return R.deepest_paths(start.lookahead(_next), _next).df.select(_joined().alias("path"))
 
 
-_TO = ", r AS (SELECT 'nation:0' AS vid, ['nation:0'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN e ON src = vid WHERE vid <> 'nation:7' AND NOT list_contains(path[:-2], vid)) "
+_TO = ", r AS (SELECT 'nation:0' AS vid, ['nation:0'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN e ON src = vid WHERE vid NOT IN ('nation:3', 'nation:14') AND NOT list_contains(path[:-2], vid)) "
 
 
-@query(_TO + "SELECT array_to_string(path, '>') AS path FROM r WHERE vid = 'nation:7'", TRADE_SQL, recursive=True)
+@query(_TO + "SELECT array_to_string(path, '>') AS path FROM r WHERE vid IN ('nation:3', 'nation:14')", TRADE_SQL, recursive=True)
 def recurse_all_paths_to(spark: SparkSession, sf: str) -> DataFrame:
     g = T.trade(spark, sf).cached()
-    return R.all_paths_to(g.get_vertex("nation:0"), lambda e: e == "nation:7", lambda r: r.out("trade")).df.select(_joined().alias("path"))
+    return R.all_paths_to(g.get_vertex("nation:0"), lambda e: e.isin("nation:3", "nation:14"), lambda r: r.out("trade")).df.select(_joined().alias("path"))
 
 
-@query(_TO + "SELECT vid, count(*) AS n FROM r WHERE vid = 'nation:7' GROUP BY 1", TRADE_SQL, recursive=True)
+@query(_TO + "SELECT vid, count(*) AS n FROM r WHERE vid IN ('nation:3', 'nation:14') GROUP BY 1", TRADE_SQL, recursive=True)
 def recurse_search(spark: SparkSession, sf: str) -> DataFrame:
     g = T.trade(spark, sf).cached()
-    return R.search(g.get_vertex("nation:0"), lambda e: e == "nation:7", lambda r: r.out("trade")).group_count().toDF("vid", "n")
+    return R.search(g.get_vertex("nation:0"), lambda e: e.isin("nation:3", "nation:14"), lambda r: r.out("trade")).group_count().toDF("vid", "n")
 
 
 _CYC = ", r AS (SELECT DISTINCT src AS vid, [src] AS path FROM e UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN e ON src = vid WHERE NOT list_contains(path[:-2], vid)) "
@@ -197,7 +197,7 @@ def algo_connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return A.connected_components(T.same_text(spark, sf), "same_text")
 
 
-_CYCLE_SQL = ", r AS (SELECT src AS root, dst AS tip, [src, dst] AS walk FROM e UNION ALL SELECT root, dst, list_append(walk, dst) FROM r JOIN e ON src = tip WHERE tip <> root AND dst >= root AND (dst = root OR NOT list_contains(walk, dst))) "
+_CYCLE_SQL = ", r AS (SELECT src AS root, dst AS tip, [src, dst] AS walk FROM e WHERE dst >= src UNION ALL SELECT root, dst, list_append(walk, dst) FROM r JOIN e ON src = tip WHERE tip <> root AND dst >= root AND (dst = root OR NOT list_contains(walk, dst))) "
 
 
 @query(_CYCLE_SQL + "SELECT array_to_string(walk, '>') AS cycle FROM r WHERE tip = root", TRADE_SQL, recursive=True)
@@ -209,17 +209,17 @@ def algo_cycles(spark: SparkSession, sf: str) -> DataFrame:
 _SHORT = ", r AS (SELECT 'nation:0' AS tip, ['nation:0'] AS path, 0 AS cost UNION ALL SELECT dst, list_append(path, dst), cost + {w} FROM r JOIN e ON src = tip WHERE NOT list_contains(path, dst)) "
 
 
-@query(_SHORT.format(w="1") + "SELECT array_to_string(path, '>') AS path, CAST(cost AS DOUBLE) AS cost FROM r WHERE tip = 'nation:7' ORDER BY cost, path LIMIT 1", TRADE_SQL, recursive=True)
+@query(_SHORT.format(w="1") + "SELECT array_to_string(path, '>') AS path, CAST(cost AS DOUBLE) AS cost FROM r WHERE tip IN ('nation:3', 'nation:14') ORDER BY cost, path LIMIT 1", TRADE_SQL, recursive=True)
 def algo_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     g = T.trade(spark, sf).cached()
-    return A.shortest_path(g, "trade", g.get_vertex("nation:0").df, lambda v: v == "nation:7").select(_joined("path").alias("path"), "cost")
+    return A.shortest_path(g, "trade", g.get_vertex("nation:0").df, lambda v: v.isin("nation:3", "nation:14")).select(_joined("path").alias("path"), "cost")
 
 
-@query(_SHORT.format(w="doc") + "SELECT array_to_string(path, '>') AS path, CAST(cost AS DOUBLE) AS cost FROM r WHERE tip IN ('nation:7', 'nation:3') ORDER BY cost, path LIMIT 1", TRADE_SQL, recursive=True)
+@query(_SHORT.format(w="doc") + "SELECT array_to_string(path, '>') AS path, CAST(cost AS DOUBLE) AS cost FROM r WHERE tip IN ('nation:8', 'nation:14') ORDER BY cost, path LIMIT 1", TRADE_SQL, recursive=True)
 def algo_cheapest_path(spark: SparkSession, sf: str) -> DataFrame:
     """Least sum of documents to the first of several ends."""
     g = T.trade(spark, sf).cached()
-    return A.shortest_path(g, "trade", g.get_vertex("nation:0").df, lambda v: v.isin("nation:7", "nation:3"), cost=lambda d: d).select(_joined("path").alias("path"), "cost")
+    return A.shortest_path(g, "trade", g.get_vertex("nation:0").df, lambda v: v.isin("nation:8", "nation:14"), cost=lambda d: d).select(_joined("path").alias("path"), "cost")
 
 
 _DOM = """, live AS (SELECT 'nation:0' AS v UNION SELECT dst FROM live JOIN e ON src = v),
@@ -250,9 +250,12 @@ def algo_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
     return A.breadth_first(g.get_vertex("nation:0"), lambda r: r.out("trade"))
 
 
-@query(_SHORT.format(w="0") + "SELECT DISTINCT unnest(path) AS vid FROM r WHERE tip = 'nation:7'", TRADE_SQL, recursive=True)
+@query(_SHORT.format(w="0") + "SELECT DISTINCT unnest(path) AS vid FROM r WHERE tip = (SELECT max(b.dst) FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'nation:0' AND b.dst <> 'nation:0')", TRADE_SQL, recursive=True)
 def algo_vertices_between(spark: SparkSession, sf: str) -> DataFrame:
-    return A.vertices_between(A.edge_list(T.trade(spark, sf), "trade"), "nation:0", "nation:7")
+    """To the greatest vertex two steps away."""
+    g = T.trade(spark, sf).cached()
+    end = g.get_vertex("nation:0").iter(2, lambda r: r.out("trade")).isnt("nation:0").df.agg(F.max("vid")).first()[0]
+    return A.vertices_between(A.edge_list(g, "trade"), "nation:0", end)
 
 
 @query("SELECT false AS trade, true AS next_order")

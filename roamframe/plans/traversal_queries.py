@@ -403,9 +403,9 @@ def filter_lookahead_max(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(T.commerce(spark, sf).V("customer").lookahead(lambda r: r.out("placed"), max=6))
 
 
-@commerce_query("SELECT vid FROM v WHERE kind = 'part' AND vid NOT IN (SELECT dst FROM e WHERE label = 'contains' AND src IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'P'))")
+@commerce_query("SELECT vid FROM v WHERE kind = 'customer' AND vid NOT IN (SELECT src FROM e WHERE label = 'placed' AND dst IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'P'))")
 def filter_neg_lookahead(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(T.commerce(spark, sf).V("part").neg_lookahead(lambda r: r.in_("contains").has_property("status", "P")))
+    return _rows(T.commerce(spark, sf).V("customer").neg_lookahead(lambda r: r.out("placed").has_property("status", "P")))
 
 
 @commerce_query("SELECT vid FROM v WHERE kind = 'customer' AND NOT (SELECT count(*) FROM e WHERE src = vid AND label = 'placed') BETWEEN 8 AND 12")
