@@ -1 +1 @@
-"""Package part of roamframe."""
+"""Column functions."""

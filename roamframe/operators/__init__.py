@@ -1 +1 @@
-"""Package part of roamframe."""
+"""Operators over graphs and routes."""

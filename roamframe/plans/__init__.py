@@ -1 +1 @@
-"""Package part of roamframe."""
+"""Planning helpers and the registry of queries."""

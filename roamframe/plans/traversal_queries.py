@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamframe.graph import Graph, GraphBuilder
-from roamframe.operators import paths as P
+from roamframe.functions import paths as P
 from roamframe.operators.views import GraphView, single, wrap_graph
 from roamframe.plans.registry import FOLLOWS_SQL, commerce_query, query
 from roamframe.route import Route, merge_exhaustive, merge_round_robin

@@ -1 +1 @@
-"""Package part of roamframe."""
+"""Graphs from tables, example graphs, printed forms."""

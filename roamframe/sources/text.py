@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamframe.graph import Graph
-from roamframe.operators import paths
+from roamframe.functions import paths
 from roamframe.route import Route
 
 _DEFAULT: list[Graph] = []

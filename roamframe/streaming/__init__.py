@@ -1 +1 @@
-"""Package part of roamframe."""
+"""Graphs from streams of edges."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roamframe.graph import CyclicGraph, Graph, GraphBuilder, VertexNotFound
-from roamframe.operators import paths as P
+from roamframe.functions import paths as P
 from roamframe.operators.views import GraphView
 from roamframe.route import Unordered, merge_round_robin
 from roamframe.sources import text as X
