@@ -720,8 +720,8 @@ def view_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'a' AS src, 'b' AS dst, 4.0::DOUBLE AS weight UNION ALL SELECT 'c', 'd', 9.0 UNION ALL SELECT 'a', 'd', 33.0")
 def view_weight_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of an edge with a number, without a document, and of a missing edge."""
-    rows = spark.createDataFrame([("loom", "a", "b", 4.0), ("xyz", "c", "d", None), ("nope", "d", "b", None)], "label string, src string, dst string, doc double")
-    view = GraphView(Graph.from_edges(rows), ["loom", "xyz"], null_weight=9.0, missing_weight=33.0)
+    rows = spark.createDataFrame([("near", "a", "b", 4.0), ("xyz", "c", "d", None), ("far", "d", "b", None)], "label string, src string, dst string, doc double")
+    view = GraphView(Graph.from_edges(rows), ["near", "xyz"], null_weight=9.0, missing_weight=33.0)
     return view.weights(spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "d")], "src string, dst string"))
 
 
