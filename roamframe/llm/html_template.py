@@ -5,7 +5,7 @@ an article (menus, forms, scripts, adverts, comments and so on) go at once.  Of
 every block carries the hashes of the element subtrees it lies in; Spark counts, per host, on
 how many different pages each subtree occurs, and blocks inside a subtree that recurs on
 many pages of its host are deleted as template.  Copies of one page say nothing about
-a template, so support is counted in distinct page sketches.  Inside an article or main element the
+a template, so support is counted in distinct pages, by a hash of all blocks in order.  Inside an article or main element the
 evidence has to be stronger.  A hash can pass the share test only in proportion to a page's
 elements, so the templates of a host are few however many pages it has.
 """
@@ -171,7 +171,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             blocks = [parse_page(h.as_py()) for h in part.column("html")]
-            sketch = [min((xxhash.xxh64_intdigest(b[0]) for b in bs), default=0) - 2**63 for bs in blocks]
+            sketch = [xxhash.xxh64_intdigest("\x1f".join(b[0] for b in bs)) - 2**63 for bs in blocks]
             rows = [[{"text": t, "hashes": h, "inside": i} for t, h, i in bs] for bs in blocks]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(sketch, type=pa.int64()), pa.array(rows, type=_BLOCKS)], ["page_id", "url", "host", "sketch", "blocks"])
 

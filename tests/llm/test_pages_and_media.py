@@ -111,6 +111,19 @@ def test_site_templates_go_and_articles_stay(spark):
     assert got[200]["text"] == "copy of one page\ntold twice" and got[200]["n_chars"] == 27
 
 
+def test_pages_that_share_most_blocks_stay_distinct_evidence(spark):
+    """8 shared and 4 own blocks a page: every page counts, though most have a shared block as their least."""
+    shared = [f"<div><p>site part {j}</p></div>" for j in range(8)]
+    rows = []
+    for h in range(30):
+        for k in range(20):
+            own = [f"<div><p>text {h} {k} {j}</p></div>" for j in range(4)]
+            rows.append((h * 100 + k, f"http://h{h}.example/{k}", "".join(shared[:4] + own + shared[4:]).replace("site", f"site {h}")))
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    wrong = {r["page_id"] // 100 for r in got if r["text"] != "\n".join(f"text {r['page_id'] // 100} {r['page_id'] % 100} {j}" for j in range(4))}
+    assert len(got) == 600 and not wrong
+
+
 def test_pages_edge_cases(spark):
     schema = "page_id bigint, url string, html string, host string, blocks int, sketch int"
     rows = [(1, None, "<p>x", "h", 1, 1), (1, None, "<p>x", "h", 1, 1), (None, "no scheme", None, None, None, None), (2, "http://h/", "", "h", 1, 1)]
