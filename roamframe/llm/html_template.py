@@ -6,7 +6,7 @@ every block carries the hashes of the element subtrees it lies in; Spark counts,
 how many different pages each subtree occurs, and blocks inside a subtree that recurs on
 many pages of its host are deleted as template.  Copies of one page say nothing about
 a template, so support is counted in distinct pages, by a hash of all blocks in order.  Inside an article or main element the
-evidence has to be stronger.  A hash can pass the share test only in proportion to a page's
+evidence has to be stronger; blocks beside one are kept or deleted by the counts like any other.  A hash can pass the share test only in proportion to a page's
 elements, so the templates of a host are few however many pages it has.
 """
 
@@ -139,8 +139,11 @@ class _Page:
         self.junk -= junk
 
 
-def parse_page(html: str | None) -> list[list]:
-    """Blocks of a page, in order: text, hashes of the subtrees around it, and whether it is inside an article."""
+def parse_page(html: str | None, beside: bool = False) -> list[list]:
+    """Blocks of a page, in order: text, hashes of the subtrees around it, and whether it is inside an article.
+
+    Without ``beside``, a page seen alone, with no host to count on: an article hides the blocks beside it.
+    """
     page = _Page()
     html = html or ""
     at = 0
@@ -159,7 +162,7 @@ def parse_page(html: str | None) -> list[list]:
     while page.stack:
         page.pop()
     page.flush()
-    inside = [b for b in page.blocks if b[2]]
+    inside = [] if beside else [b for b in page.blocks if b[2]]
     return inside or page.blocks
 
 
@@ -170,7 +173,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            blocks = [parse_page(h.as_py()) for h in part.column("html")]
+            blocks = [parse_page(h.as_py(), beside=True) for h in part.column("html")]
             sketch = [xxhash.xxh64_intdigest("\x1f".join(b[0] for b in bs)) - 2**63 for bs in blocks]
             rows = [[{"text": t, "hashes": h, "inside": i} for t, h, i in bs] for bs in blocks]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(sketch, type=pa.int64()), pa.array(rows, type=_BLOCKS)], ["page_id", "url", "host", "sketch", "blocks"])

@@ -124,6 +124,18 @@ def test_pages_that_share_most_blocks_stay_distinct_evidence(spark):
     assert len(got) == 600 and not wrong
 
 
+def test_text_beside_an_article_goes_by_the_counts_only(spark):
+    def page(k: int) -> str:
+        return f"<div><p>Welcome to our site</p></div><h1>heading {k}</h1><div><p>body {k} first</p><p>body {k} last</p></div><article><p>card {k}</p></article>"
+
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(20)]
+    rows += [(100, "http://b.example/", "<h1>beside</h1><main><p>within</p></main>")]
+    got = {r["page_id"]: r for r in H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(20):
+        assert got[k]["text"] == f"heading {k}\nbody {k} first\nbody {k} last\ncard {k}" and got[k]["n_template"] == 1
+    assert got[100]["text"] == "beside\nwithin"
+
+
 def test_pages_edge_cases(spark):
     schema = "page_id bigint, url string, html string, host string, blocks int, sketch int"
     rows = [(1, None, "<p>x", "h", 1, 1), (1, None, "<p>x", "h", 1, 1), (None, "no scheme", None, None, None, None), (2, "http://h/", "", "h", 1, 1)]
