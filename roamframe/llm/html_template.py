@@ -31,7 +31,11 @@ OUTSIDE, INSIDE = (4, 0.3), (12, 0.6)
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|select|canvas|audio|video"
+RAW = "script|style|noscript|title|textarea|iframe"
+#: Dropped up to their end tag, but by their own tag alone if self-closed or never closed.
+EMBEDDED = frozenset("template svg math object select canvas audio video".split())
+#: What may stand in a head; any other element, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 NEVER = frozenset("nav footer aside form button head dialog menu fieldset label figcaption".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "caption"}
@@ -43,9 +47,10 @@ JUNK = re.compile(
 )
 _JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in EMBEDDED}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -64,7 +69,13 @@ class _Page:
             if self.stack:
                 self.stack[-1][2].append(text)
 
+    def end_head(self) -> None:
+        if self.junk:
+            self.close_within({"head"}, frozenset())
+
     def open(self, tag: str, attributes: str) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.flush()
         if tag in CLOSES_P:
@@ -147,18 +158,30 @@ def parse_page(html: str | None, beside: bool = False) -> list[list]:
     page = _Page()
     html = html or ""
     at = 0
-    for token in _TOKEN.finditer(html):
-        if token.start() > at and not page.junk:
-            page.text.append(unescape(html[at : token.start()]))
+    unclosed: set[str] = set()  # embedded elements without an end tag in the rest of the page
+    while True:
+        token = _TOKEN.search(html, at)
+        text = html[at : token.start() if token else len(html)]
+        if page.stack and page.stack[-1][0] == "head" and text.strip():
+            page.end_head()
+        if text and not page.junk:
+            page.text.append(unescape(text))
+        if token is None:
+            break
         at = token.end()
         raw, slash, tag, attributes, slash2, tag2, attributes2 = token.groups()
-        tag = tag or tag2
-        if tag and (slash or slash2):
-            page.close(tag.lower())
+        tag = (tag or tag2 or "").lower()
+        attributes = attributes or attributes2 or ""
+        if tag in EMBEDDED:
+            if not (slash or slash2 or attributes.endswith("/") or tag in unclosed):
+                end = _END[tag].search(html, at)
+                at = end.end() if end else at
+                if end is None:
+                    unclosed.add(tag)
+        elif tag and (slash or slash2):
+            page.close(tag)
         elif tag:
-            page.open(tag.lower(), attributes or attributes2 or "")
-    if at < len(html) and not page.junk:
-        page.text.append(unescape(html[at:]))
+            page.open(tag, attributes)
     while page.stack:
         page.pop()
     page.flush()

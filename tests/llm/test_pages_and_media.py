@@ -96,6 +96,24 @@ def test_blocks(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><meta charset=utf-8><title>no</title><body><p>yes</p></body></html>", ["yes"]),
+        ("<head><link rel=x href=y><script>no</script><p>yes</p>", ["yes"]),
+        ("<head>\n<meta charset=utf-8>\nyes", ["yes"]),
+        ("<head><title>no</title></head><p>yes", ["yes"]),
+        ("<p>a</p><svg class=x /><p>b</p><svg><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a <math/>b</p><object data='x'/><p>c</p>", ["a b", "c"]),
+        ("<p>a</p><video src=x><p>b</p><video src=y><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><video><p>no</p></VIDEO ><p>b</p>", ["a", "b"]),
+        ("<video-player id=v></video-player><p>a</p><select-box><p>b</p></select-box><title-bar>c</title-bar>", ["a", "b", "c"]),
+    ],
+)
+def test_open_heads_and_embedded_elements_hide_no_text(html, want):
+    assert text_of(html) == want
+
+
 def test_site_templates_go_and_articles_stay(spark):
     rows = []
     for k in range(40):
