@@ -3,21 +3,25 @@
 Candidates of the battery are runs of token characters of some length.  Each gets an
 inferred encoding (its alphabet) and three tests:
 
-* chi-squared uniformity over that alphabet, once against uniform letters and once against
-  the repetition of letters in ordinary words;
+* chi-squared uniformity over that alphabet;
 * a runs test on character classes (digit, upper, lower, other), which word-like and
   number-suffixed names fail;
 * lag-one serial correlation of the codes, which counters and keyboard rows fail.
 
 A candidate is *plausible* when Bonferroni's combination of the three does not reject
-uniform letters.  It is a *discovery* when its p-value against ordinary words passes a
-Benjamini-Hochberg step-up made separately per band of lengths, so that short candidates,
+uniform letters.  For its p-value the same three features (letter frequencies, class changes,
+neighbouring letters) are judged jointly against a model of ordinary words, names and numbers:
+the likelihood of uniform draws from the inferred alphabet over that of the model has a mean
+of at most one under the model, so its inverse is a p-value (Markov's inequality), whatever
+the alphabet.  A candidate is a *discovery* when this p-value passes a Benjamini-Hochberg step-up made separately per band of lengths, so that short candidates,
 where the tests have little power, don't borrow evidence from long ones.  The step-up
 works on counts of p-values in bins, bands x bins rows however large the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +36,20 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
-#: Share of equal letter pairs in ordinary words (index of coincidence), both for English
-#: and, within a hundredth, for German, French and Spanish.
-WORD_COINCIDENCE = 0.066
+# The model of ordinary tokens.  Percent of v(owels), c(onsonants), their capitals,
+# d(igits) and s(igns) after each class, ^ at the start; numbers are short, capitals begin words.
+CLASSES = "vcVCds"
+AFTER = {
+    "^": (20, 40, 7, 18, 10, 5), "v": (20, 64, 1, 3, 4, 8), "c": (50, 33, 1, 3, 4, 9), "V": (15, 45, 8, 22, 3, 7),
+    "C": (40, 20, 17, 13, 4, 6), "d": (4, 9, 4, 9, 60, 14), "s": (25, 35, 8, 15, 12, 5),
+}
+#: Letters in ten thousand of English text.
+LETTERS = {
+    "a": 817, "b": 149, "c": 278, "d": 425, "e": 1270, "f": 223, "g": 202, "h": 609, "i": 697, "j": 15, "k": 77, "l": 403, "m": 241,
+    "n": 675, "o": 751, "p": 193, "q": 10, "r": 599, "s": 633, "t": 906, "u": 276, "v": 98, "w": 236, "x": 15, "y": 197, "z": 7,
+}
+#: Alphabets that can be inferred, and the ways the model writes a word (as it is, or in capitals).
+ALPHABETS, CASES = 11, 2
 LENGTH_BANDS = (24, 32, 48)
 BINS_PER_DECADE, MAX_BIN = 8, 400
 FALSE_DISCOVERY, REJECT_UNIFORM = 0.01, 0.001
@@ -66,8 +81,30 @@ def _normal(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.070565992 * z * z * z)))
 
 
+def _ordinary() -> tuple[str, str, dict[str, float]]:
+    """Characters and their classes, and -log10 of the model's probabilities of class pairs and of characters in their class."""
+    of = {ch: "v" if ch in "aeiou" else "c" for ch in LETTERS}
+    of |= {ch.upper(): k.upper() for ch, k in of.items()} | dict.fromkeys("0123456789", "d") | dict.fromkeys("+/_-", "s")
+    weight = {ch: LETTERS.get(ch.lower(), 1) for ch in of}
+    total = {k: sum(w for ch, w in weight.items() if of[ch] == k) for k in CLASSES}
+    cost = {ch: -math.log10(w / total[of[ch]]) for ch, w in weight.items()}
+    cost |= {a + b: -math.log10(p / 100) for a, row in AFTER.items() for b, p in zip(CLASSES, row, strict=True)}
+    return "".join(of), "".join(of.values()), cost
+
+
+def _surprise(token: Column) -> Column:
+    """-log10 of the probability of a token as ordinary words, names and numbers; in capitals throughout they are as small letters."""
+    characters, classes, cost = _ordinary()
+    costs = F.create_map(*[F.lit(x) for pair in cost.items() for x in pair])
+    plain = F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token))
+    kinds = F.translate(plain, characters, classes)
+    pairs = F.zip_with(F.split(F.concat(F.lit("^"), kinds), ""), F.split(kinds, ""), lambda a, b: F.concat(a, b))
+    parts = F.concat(F.split(plain, ""), F.filter(pairs, lambda x: x.isNotNull()))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + F.element_at(costs, x))
+
+
 def _battery(token: Column) -> Column:
-    """(plausible, bin of the p-value against ordinary words) of one candidate."""
+    """(plausible, bin of the p-value against ordinary tokens) of one candidate."""
     n = F.length(token).cast("double")
     size = (
         F.when(token.rlike("^[0-9]+$"), 10).when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), 16)
@@ -78,9 +115,6 @@ def _battery(token: Column) -> Column:
     squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
     chi = size / n * squares - n
     p_even = 1 - _normal((chi - (size - 1)) / F.sqrt(2 * (size - 1)))
-    coincidence = (squares - n) / (n * (n - 1))
-    null = WORD_COINCIDENCE
-    p_words = _normal((coincidence - null) / F.sqrt(2 * null * (1 - null) / (n * (n - 1))))
 
     def share(cls: str) -> Column:
         return F.length(F.regexp_replace(token, f"[^{cls}]", "")) / n
@@ -95,7 +129,8 @@ def _battery(token: Column) -> Column:
     lagged = F.aggregate(F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
     p_serial = F.when(var < 1e-9, 0.0).otherwise(2 * _normal(-F.abs((lagged / var + 1 / (n - 1)) * F.sqrt(n))))
     plausible = 3 * F.least(p_even, p_runs, p_serial) >= REJECT_UNIFORM
-    bin_no = F.least(F.floor(-F.log10(F.greatest(p_words, F.lit(1e-60))) * BINS_PER_DECADE), F.lit(MAX_BIN)).cast("int")
+    evidence = _surprise(token) - n * F.log10(size) - math.log10(ALPHABETS * CASES)
+    bin_no = F.least(F.floor(F.greatest(evidence, F.lit(0.0)) * BINS_PER_DECADE), F.lit(MAX_BIN)).cast("int")
     band = sum((F.when(n >= b, 1).otherwise(0) for b in LENGTH_BANDS), F.lit(0))
     return F.struct(plausible.alias("plausible"), bin_no.alias("bin"), band.cast("int").alias("band"))
 

@@ -49,6 +49,19 @@ def test_secret_battery_finds_random_strings_and_leaves_words(spark):
     assert sum(got[100 + k] for k in range(40)) == 0
 
 
+def test_secret_battery_has_power_for_every_alphabet(spark):
+    rng = random.Random(4)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for a, (alphabet, n) in enumerate([("0123456789ABCDEF", 40), ("0123456789ABCDEF", 24), ("0123456789abcdef", 22), ("0123456789", 22), (alnum, 22), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)]):
+        rows += [(a * 100 + k, prose(k, 9) + " " + "".join(rng.choice(alphabet) for _ in range(n)) + " end") for k in range(50)]
+    plain = "donaudampfschifffahrtsgesellschaft INTERNATIONALIZATION_CONSTANTS parseHTTPResponseHeaderFromStream en/news/2024-05-12/some-title-of-words x86_64-unknown-linux-gnu 00000000000000000000000000"
+    rows += [(1000 + k, plain) for k in range(50)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [a for a in range(6) if sum(got[a * 100 + k] for k in range(50)) < 45] == []
+    assert sum(got[1000 + k] for k in range(50)) == 0
+
+
 def test_secrets_edge_cases(docs, empty):
     assert secrets.scan_secrets(docs).count() == docs.count()
     assert secrets.scan_secrets(empty).count() == 0
