@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,21 @@ def test_toxicity_separates_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_toxicity_hears_insults_rare_in_their_class(spark):
+    """180 insults, each in less than one in a hundred of the toxic rows."""
+    rows = [(k, f"{prose(k, 15)} insult{k // 2 % 180} {prose(k + 9000, 15)}" if k % 2 else prose(k, 31)) for k in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = toxicity.score_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")).filter("held_out").collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in got) >= 0.85 * len(got)
+
+
+def test_toxicity_merges_only_copies_in_training():
+    passage = prose(77, 100)
+    texts = [f"own{k} {passage}" for k in range(20)] + [f"own0 {passage}"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert len(set(next(toxicity._sketched(iter([batch])))["sketch"].to_pylist())) == 20
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0)], "doc_id bigint, toxic int")
     none = labels.limit(0)
