@@ -213,16 +213,46 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert ngram_jaccard.near_duplicates(empty)[0].count() == 0
 
 
-def test_odd_sketches_never_count_more_than_the_sets_differ(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for k in range(60):
-        n = int(rng.choice([20, 900, 1100, 4000, 4200]))
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[: int(len(a) * rng.random())], rng.integers(0, 2**63, n // 5, dtype=np.uint64)]))
-        rows.append((k, ngram_jaccard._odd_sketch(a).view(np.int64).tolist(), ngram_jaccard._odd_sketch(b).view(np.int64).tolist(), len(np.setxor1d(a, b))))
-    df = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>, d int")
-    assert df.filter(F.expr(f"({ngram_jaccard._unlike('a', 'b')}) > d")).count() == 0
+def scattered(seed: int, n: int, words: int, least: int, most: int) -> list[str]:
+    """Copies of one text with edits at random places, most of them not linked with each other."""
+    rng = random.Random(seed)
+    base = prose(seed, words).split()
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(least, most)):
+            copy[rng.randrange(words)] = f"v{k}w{rng.randrange(9)}" if rng.random() < 0.7 else f"edit{rng.randrange(12)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("leaf_rows", [8, 1024])
+def test_large_regions_split_without_losing_a_link(spark, leaf_rows):
+    texts = scattered(90, 70, 120, 0, 9) + scattered(91, 30, 90, 3, 6) + scattered(92, 15, 300, 8, 20)
+    # a passage that is most of several otherwise different texts
+    passage = prose(93, 50)
+    texts += [f"{passage} {prose(200 + k, 9)}" for k in range(20)] + [t for k in range(3) for t in family(60 + k, 12, 60, 4)]
+    random.Random(5).shuffle(texts)
+    rows = list(enumerate(texts))
+    got, links = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), leaf_rows=leaf_rows)
+    want = plain_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    for r in links.collect():
+        shared = len(sets[r["src"]] & sets[r["dst"]])
+        assert 100 * shared >= 80 * (len(sets[r["src"]]) + len(sets[r["dst"]]) - shared)
+
+
+def test_leaf_counts_every_intersection():
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 2**62, 500)
+    sets = [np.unique(np.concatenate([core[rng.random(500) < p], rng.integers(0, 300, 40), rng.integers(0, 2**62, 20)])) for p in rng.random(60)]
+    got = ngram_jaccard._common(sets)
+    for i in range(60):
+        for j in range(60):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
 # -- mixing
