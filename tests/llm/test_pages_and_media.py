@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -73,7 +74,8 @@ def test_media_query_rows(docs, empty):
 
 
 def text_of(html: str | None) -> list[str]:
-    return [b[0] for b in H.parse_page(html)]
+    text, _ = H.page_text(H.parse_page(html), (), ())
+    return text.split("\n") if text else []
 
 
 @pytest.mark.parametrize(
@@ -82,7 +84,7 @@ def text_of(html: str | None) -> list[str]:
         (None, []),
         ("", []),
         ("plain &amp; simple", ["plain & simple"]),
-        ("<article><h1>A&nbsp;b</h1><p>one\n  two<p>three<br>four</article><p>out", ["A b", "one two", "three four"]),
+        ("<article><h1>A&nbsp;b</h1><p>one\n  two<p>three<br>four</article><p>out", ["A b", "one two", "three four", "out"]),
         ("<nav>no</nav><main><p>x <b>y</b>z</p><aside>no</aside><form>no</form></main><footer>no</footer>", ["x yz"]),
         ("<body><div class='site-header ad'>no</div><div class='heading'>yes</div><script>var a='<p>no</p>'</script><style>p{}</style>", ["yes"]),
         ("<article><p>a<!-- <p>no --></p><div id=comments>no</div><div class='cookie-notice'>no</div><ul><li>1<li>2</ul></article>", ["a", "1", "2"]),
@@ -114,6 +116,64 @@ def test_open_heads_and_embedded_elements_hide_no_text(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<article style="overflow:hidden"><p>kept</p></article>', ["kept"]),
+        ('<p data-hidden="no">kept</p><p hidden>no</p><p aria-hidden="true">no</p>', ["kept"]),
+        ('<p>A <span class="ad"><b>x</span> kept text</p>', ["A kept text"]),
+        ("<p>a</p><math><mi>x</mi></math><figure><img src=x><figcaption>seen here</figcaption></figure>", ["a", "x", "seen here"]),
+        ('<section class="related work"><p>kept</p></section>', ["kept"]),
+        ('<div class="has-sidebar"><div class=menu>no</div><article class="post comments-open"><p>kept</p></article></div>', ["kept"]),
+        ('<div id="comments"><article class="comment"><p>no</p></article><article><p>no</p></article></div><p>kept', ["kept"]),
+        ("<p>" + "<div>" * 20000 + "deep" + "</div>" * 20000 + "<p>after", ["deep", "after"]),
+        ("<p>" + "long " * 200000, [("long " * 200000).strip()]),
+    ],
+)
+def test_no_article_text_is_lost(html, want):
+    assert text_of(html) == want
+
+
+def plain_main_text(rows: list[tuple]) -> dict:
+    """Templates counted with dictionaries."""
+    parsed = [(i, U_host(url), H.parse_page(html)) for i, url, html in rows]
+    pages, seen = {}, {}
+    for _, host, page in parsed:
+        whole = tuple(b.text for b in page.blocks)
+        pages.setdefault(host, set()).add(whole)
+        for digest, _, _ in page.subtrees:
+            seen.setdefault((host, digest), set()).add(whole)
+    out = {}
+    for i, host, page in parsed:
+        share = {d: len(seen[host, d]) / len(pages[host]) for d, _, _ in page.subtrees}
+        weak = {d for d in share if len(seen[host, d]) >= 4 and share[d] >= 0.3}
+        strong = {d for d in share if len(seen[host, d]) >= 12 and share[d] >= 0.6}
+        gone = {k for d, a, b in page.subtrees for k in range(a, b) if d in (strong if page.blocks[a].inside and page.blocks[b - 1].inside else weak)}
+        out[i] = ("\n".join(b.text for k, b in enumerate(page.blocks) if k not in gone and not b.junk), len(gone))
+    return out
+
+
+def U_host(url: str | None) -> str:
+    return url.split("://", 1)[1].split("/")[0].lower() if url and "://" in url else ""
+
+
+@pytest.mark.parametrize("broadcast_templates", [0, 1 << 20])
+def test_main_text_against_a_plain_version(spark, broadcast_templates):
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        h = min(rng.randrange(1, 6), rng.randrange(1, 6))
+        menu = "".join(f"<li>entry {h} {j}</li>" for j in range(rng.choice([4, 4, 4, 5])))
+        own = "".join(f"<p>story {k} part {j}</p>" for j in range(rng.randrange(4)))
+        tail = rng.choice(["<div><p>All rights kept</p></div>", "<footer>the end</footer>", ""])
+        notice = f"<p>Notice {rng.randrange(3)}</p>"
+        rows.append((k, rng.choice([f"http://H{h}.example/x/{k}", f"http://h{h}.example?{k}"]) if k % 50 else None, f"<div><ul>{menu}</ul></div>" + rng.choice([f"<article>{own}{notice}</article>", f"<div>{own}</div>{notice}"]) + tail))
+    want = {i: v for i, v in plain_main_text([(i, u.replace("?", "/?") if u else u, x) for i, u, x in rows]).items()}
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), broadcast_templates)
+    assert {r["page_id"]: (r["text"], r["n_template"]) for r in got.collect()} == want
+    assert sum(n for _, n in want.values()) > 400
+
+
 def test_site_templates_go_and_articles_stay(spark):
     rows = []
     for k in range(40):
