@@ -3,8 +3,8 @@
 Every element of a page that holds text is hashed with all that is in it.  Spark counts, per
 host, on how many different pages each subtree occurs, and subtrees that recur on many
 pages of their host are deleted as template.  Copies of one page say nothing about a template, so
-support is counted in distinct pages, by a hash of all blocks in order.  Inside an article or
-main element the evidence has to be stronger.  What the counts can't know, on a host with
+support is counted in distinct pages, by a hash of all blocks in order.  On a page without an article or
+main element the evidence has to be stronger than beside one, and stronger still inside.  What the counts can't know, on a host with
 few pages, a rule by tag, role and class removes: menus, page headers and footers, sidebars, notices,
 adverts, forms and reader comments.
 
@@ -36,8 +36,8 @@ from roamframe.plans.scratch import cut
 from roamframe.plans.workers import prepared
 
 #: Distinct pages and share of the host's distinct pages from which a subtree is template:
-#: outside an article, and inside one.
-OUTSIDE, INSIDE = (4, 0.3), (12, 0.6)
+#: beside an article, on a page that has none, and inside an article.
+BESIDE, ALONE, INSIDE = (4, 0.05), (4, 0.3), (12, 0.6)
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,8 +240,9 @@ def parse_page(html: str | None) -> Page:
     return Page(page.blocks, page.subtrees)
 
 
-def page_text(page: Page, outside: Container[int], inside: Container[int]) -> tuple[str, int]:
+def page_text(page: Page, beside: Container[int], alone: Container[int], inside: Container[int]) -> tuple[str, int]:
     """What stays of a page without the template subtrees and the junk, and how many blocks the templates took."""
+    outside = beside if any(b.inside for b in page.blocks) else alone
     gone = np.zeros(len(page.blocks) + 1, dtype=np.int64)
     for digest, first, end in page.subtrees:
         # a subtree inside an article has no block outside it
@@ -276,13 +277,14 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_templates(rows: DataFrame) -> DataFrame:
-    """(host, h, strong): subtree hashes that are template outside an article, and those that are inside one too."""
+    """(host, h, grade): subtree hashes that are template beside an article, by grade 1 also without one, by 2 also inside one."""
     seen = prepared(rows.select("host", "html")).mapInArrow(_subtrees, "host string, page bigint, h bigint").distinct()
     support = seen.groupBy("host", "h").agg(F.count("*").alias("n"))
-    support = cut(support.filter(f"n >= {OUTSIDE[0]}"))  # of a host with fewer pages nothing can pass
+    support = cut(support.filter(f"n >= {BESIDE[0]}"))  # of a host with fewer pages nothing can pass
     pages = support.filter("h is null").select("host", F.col("n").alias("pages"))
-    strong = (F.col("n") >= INSIDE[0]) & (F.col("n") >= INSIDE[1] * F.col("pages"))
-    return support.filter("h is not null").join(pages, "host").filter(F.col("n") >= OUTSIDE[1] * F.col("pages")).select("host", "h", strong.alias("strong"))
+    passes = [(F.col("n") >= n) & (F.col("n") >= share * F.col("pages")) for n, share in (BESIDE, ALONE, INSIDE)]
+    grade = F.when(passes[2], 2).when(passes[1], 1).otherwise(0)
+    return support.filter("h is not null").join(pages, "host").filter(passes[0]).select("host", "h", grade.alias("grade"))
 
 
 class _Known:
@@ -304,11 +306,11 @@ def _extracted(batches: Iterator[pa.RecordBatch], known: Broadcast | None) -> It
             texts, counts = [], []
             for row, html in enumerate(part.column("html")):
                 if known is None:
-                    outside, inside = (frozenset(part.column(c)[row].as_py() or ()) for c in ("outside", "inside"))
+                    known_here = [frozenset(part.column(f"grade{g}")[row].as_py() or ()) for g in range(3)]
                 else:
                     host = part.column("host")[row].as_py()
-                    outside, inside = (_Known(t, host) for t in known.value)
-                text, n = page_text(parse_page(html.as_py()), outside, inside)
+                    known_here = [_Known(t, host) for t in known.value]
+                text, n = page_text(parse_page(html.as_py()), *known_here)
                 texts.append(text), counts.append(n)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_template"])
 
@@ -328,12 +330,12 @@ def extract_main_text(pages: DataFrame, broadcast_templates: int = BROADCAST_TEM
     if templates.count() <= broadcast_templates:
         got = templates.toArrow()  # at most broadcast_templates rows
         keys = np.array([_host_hash(h, d) for h, d in zip(got["host"].to_pylist(), got["h"].to_pylist(), strict=True)], dtype=np.int64)
-        strong = got["strong"].to_numpy(zero_copy_only=False).astype(bool) if len(keys) else np.zeros(0, dtype=bool)
-        known = pages.sparkSession.sparkContext.broadcast((np.sort(keys), np.sort(keys[strong])))
+        grades = got["grade"].to_numpy()
+        known = pages.sparkSession.sparkContext.broadcast([np.sort(keys[grades >= g]) for g in range(3)])
     else:
         known = None
         # by the share test a host has at most (elements of a page / share) hashes
-        lists = templates.groupBy("host").agg(F.collect_list("h").alias("outside"), F.collect_list(F.when(F.col("strong"), F.col("h"))).alias("inside"))
+        lists = templates.groupBy("host").agg(*(F.collect_list(F.when(F.col("grade") >= g, F.col("h"))).alias(f"grade{g}") for g in range(3)))
         rows = rows.join(lists, "host", "left")
     out = prepared(rows).mapInArrow(partial(_extracted, known=known), fields)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")

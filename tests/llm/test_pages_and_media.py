@@ -74,7 +74,7 @@ def test_media_query_rows(docs, empty):
 
 
 def text_of(html: str | None) -> list[str]:
-    text, _ = H.page_text(H.parse_page(html), (), ())
+    text, _ = H.page_text(H.parse_page(html), (), (), ())
     return text.split("\n") if text else []
 
 
@@ -146,7 +146,8 @@ def plain_main_text(rows: list[tuple]) -> dict:
     out = {}
     for i, host, page in parsed:
         share = {d: len(seen[host, d]) / len(pages[host]) for d, _, _ in page.subtrees}
-        weak = {d for d in share if len(seen[host, d]) >= 4 and share[d] >= 0.3}
+        least = 0.05 if any(b.inside for b in page.blocks) else 0.3
+        weak = {d for d in share if len(seen[host, d]) >= 4 and share[d] >= least}
         strong = {d for d in share if len(seen[host, d]) >= 12 and share[d] >= 0.6}
         gone = {k for d, a, b in page.subtrees for k in range(a, b) if d in (strong if page.blocks[a].inside and page.blocks[b - 1].inside else weak)}
         out[i] = ("\n".join(b.text for k, b in enumerate(page.blocks) if k not in gone and not b.junk), len(gone))
