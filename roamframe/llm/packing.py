@@ -29,6 +29,8 @@ from roamframe.plans.workers import prepared
 END_ID = 1
 #: Capacities of a sequence.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 256, 2048
+#: Limit on loss-bearing tokens where a leading quarter of every text is prompt.
+PROMPTED_LOSS_TOKENS = 1920
 #: Waiting examples and ids of a window.
 WINDOW_ROWS, WINDOW_IDS = 256, 1 << 20
 
@@ -75,18 +77,15 @@ class _Packer:
         offset = 0
         while left[0] > 0 and left[1] > 0:
             fits = alive & (demand[:, 0] <= left[0]) & (demand[:, 2] <= left[2])
-            pool = fits if fits.any() else alive
+            free = demand[:, 0] - demand[:, 2]  # tokens before the loss begins
+            room = np.minimum(np.minimum(demand[:, 0], left[0]), free + left[2])
+            pool = fits if fits.any() else alive & (room > 0)
             if not pool.any():
                 break
             score = np.where(pool, (demand / self.capacity) @ (left / self.capacity), -1.0)
             k = int(score.argmax())
-            _, _, ids, start, prompt = self.items[k]
-            length = int(min(demand[k, 0], left[0]))
-            free = max(0, min(prompt - start, length))  # tokens before the loss begins
-            length = min(length, free + int(left[2]))
-            if length <= 0:
-                break
-            loss = length - free if length > free else 0
+            length = int(room[k])
+            loss = max(0, length - int(free[k]))
             self._emit(k, length, loss, offset)
             offset += length
             left -= (length, 1, loss)
@@ -139,7 +138,7 @@ def pack_documents(
     ``prompt_tokens`` names a column with the number of leading ids that bear no loss; by
     default all ids bear loss.  Columns: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` as they say, ``doc_row`` (unique per input row, also where doc_id
-    repeats) and ``loss_tokens``.  Null and empty texts are the end id alone; other columns
+    repeats) and ``loss_tokens``.  The vocabulary's added token, where its string stands in a text, is its one id.  Null and empty texts are the end id alone; other columns
     are ignored; an empty table gives no rows.  Placement depends on nothing but the rows of
     a partition and their order, so a lost task is redone with the same ids.
     """
@@ -148,3 +147,9 @@ def pack_documents(
     run = partial(_pack, vocabulary=vocabulary, tokens=max_tokens, segments=max_segments, loss=max_loss_tokens)
     fields = ", ".join(f"{f.name} bigint" for f in SCHEMA)
     return prepared(rows).mapInArrow(run, fields).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_row", "loss_tokens")
+
+
+def pack_prompted(docs: DataFrame) -> DataFrame:
+    """``pack_documents`` where the leading quarter of a text, at four characters an id, is prompt and bears no loss."""
+    prompted = docs.select("doc_id", "text", F.floor(F.length("text") / 16).alias("prompt"))
+    return pack_documents(prompted, max_loss_tokens=PROMPTED_LOSS_TOKENS, prompt_tokens="prompt")

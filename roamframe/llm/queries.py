@@ -69,7 +69,7 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_prompted(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

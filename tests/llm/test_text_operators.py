@@ -108,6 +108,41 @@ def test_toxicity_merges_only_copies_in_training():
     assert len(set(next(toxicity._sketched(iter([batch])))["sketch"].to_pylist())) == 20
 
 
+def test_kneser_ney_tables_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(["mild", "calm", "vile", "ok", f"rare{k % 9}", f"odd{k % 5}"]) for _ in range(rng.randint(0, 12))), k % 4) for k in range(160)]
+    docs = spark.createDataFrame(rows, "text string, grp bigint").repartition(3)
+    bits, start = 2**toxicity.WORD_BITS, 0
+    pooled = toxicity._continuations(docs)
+    model = toxicity._language_model(toxicity._grouped(docs), {0: (0, 1), 1: (2, 3)}, pooled)
+    bucket = {}
+    for text in {w for t, _ in rows for w in t.split()}:
+        bucket[text] = int(next(toxicity._documents(pa.array([text])))[1][0])
+    pairs, single, contexts = Counter(), Counter(), {}
+    for text, group in rows:
+        words = [bucket[w] for w in text.split()]
+        for pair in set(zip([start, *words], words)):
+            pairs[group // 2, pair] += 1
+            contexts.setdefault(pair[1], set()).add(pair[0])
+        for w in set(words):
+            single[group // 2, w] += 1
+    assert {w: pooled[w] for w in bucket.values()} == {w: len(c) for w, c in contexts.items()}
+    total = sum(map(len, contexts.values()))
+    for c in (0, 1):
+        own = {w: len({u for (k, (u, x)) in pairs if k == c and x == w}) for w in bucket.values()}
+        kept = {w: max(n - 0.75, 0) if max(single[0, w], single[1, w]) >= toxicity.MIN_EVIDENCE else 0 for w, n in own.items()}
+        mass = sum(own.values())
+        for w in bucket.values():
+            shared = (len(contexts.get(w, ())) + 0.5) / (total + 0.5 * bits)
+            assert model.backoff[c, w] == pytest.approx(kept[w] / mass + (1 - sum(kept.values()) / mass) * shared)
+        direct = {(u, w): max(pairs[c, (u, w)] - 0.75, 0) / sum(n for (k, (x, _)), n in pairs.items() if k == c and x == u) for (u, w) in {p for _, p in pairs} if max(pairs[0, (u, w)], pairs[1, (u, w)]) >= toxicity.MIN_EVIDENCE and any(k == c and x == u for k, (x, _) in pairs)}
+        got = {(int(k) >> toxicity.WORD_BITS, int(k) % bits): p for k, p in zip(model.keys, model.direct[c])}
+        assert {k: v for k, v in got.items() if v} == pytest.approx({k: v for k, v in direct.items() if v})
+        for u in {u for (k, (u, _)) in pairs if k == c}:
+            assert model.rest[c, u] == pytest.approx(1 - sum(v for (x, _), v in direct.items() if x == u))
+        assert model.backoff[c].sum() == pytest.approx(1)
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0)], "doc_id bigint, toxic int")
     none = labels.limit(0)
@@ -332,13 +367,16 @@ def test_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     encode = packing.encoder()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
     rng = random.Random(0)
     pieces = ["word", " ", "  ", "\n", "\t\n ", " x", "'s", "don't", "123", "é", "漢字", "🙂", " ", " ", "　", "\x1c", "\x85", "...", "<|endoftext|>", "A", "\r\n"]
     for _ in range(2000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(encode(text), dtype="<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(packing.encoder(added={})(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(encode("<|endoftext|> hi"), dtype="<u4").tolist() == [50256, 23105]
 
 
 # -- rollups
