@@ -11,14 +11,14 @@ siblings, restart the path at it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roamframe.plans.ranking import positioned
-from roamframe.plans.scratch import cut
+from roamframe.plans.scratch import stored
 from roamframe.route import Route, Step
 
 Predicate = Callable[[Column, Column], Column]
@@ -65,7 +65,7 @@ def cut_() -> Column:
 
 
 def reset_path(inner: Column) -> Column:
-    """The instruction, with the path restarting at the element."""
+    """The instruction, with the path restarting at the element, for its later siblings too."""
     return F.struct(inner["emit"].alias("emit"), inner["children"].alias("children"), inner["siblings"].alias("siblings"), F.lit(True).alias("reset"))
 
 
@@ -76,6 +76,16 @@ def _children(frontier: DataFrame, route: Route, step: Step) -> DataFrame:
     return frontier.join(found, F.col("vid") == F.col("__of")).drop("__of")
 
 
+def _least_of_siblings(rows: DataFrame, value: Column, name: str, level: int, scope: Sequence[str]) -> DataFrame:
+    """``rows`` with the least ``value`` of their list of siblings."""
+    if level:
+        return rows.withColumn(name, F.min(value).over(W.partitionBy(F.slice("__dewey", 1, level), *scope)))
+    if scope:
+        return rows.join(rows.groupBy(*scope).agg(F.min(value).alias(name)), [*scope])
+    # all start rows are siblings: one number, not one task
+    return rows.withColumn(name, F.lit(rows.agg(F.min(value)).first()[0]).cast("bigint"))
+
+
 def descend(
     route: Route,
     step: Step,
@@ -107,7 +117,8 @@ def descend(
             start = positioned(start, [F.col("vid")], "__n", ())
         start = start.withColumn("__dewey", F.array("__n")).drop("__n")
     kind = dict(route.graph.v.dtypes)["vid"]
-    frontier = cut(start.withColumn("__path", F.array().cast(f"array<{kind}>")).withColumn("__silent", F.lit(0)))
+    # Parquet, not a checkpoint: a checkpoint keeps what the optimizer derived of its plan, and that grows with every level
+    frontier = stored(start.withColumn("__path", F.array().cast(f"array<{kind}>")).withColumn("__silent", F.lit(0)), "level")
     out: DataFrame | None = None
     for level in range(max_levels + 1):
         if frontier.isEmpty():
@@ -118,14 +129,18 @@ def descend(
             raise TooDeep(f"still going after {max_levels} levels; bound the traversal or raise max_levels")
         path, element = F.col("__path"), F.col("vid")
         if control is not None:
-            told = frontier.withColumn("__i", control(path, element))
-            siblings = W.partitionBy(F.slice("__dewey", 1, level) if level else F.lit(0), *[F.col(c) for c in route.scope])
-            first_cut = F.min(F.when(~F.col("__i.siblings"), F.element_at("__dewey", -1))).over(siblings)
-            frontier = told.withColumn("__cut", first_cut).filter("__cut is null or element_at(__dewey, -1) <= __cut").drop("__cut")
-            emits, expands, resets = F.col("__i.emit"), F.col("__i.children"), F.col("__i.reset")
+            nothing = F.array().cast(f"array<{kind}>")
+            place = F.element_at("__dewey", -1)
+            told = _least_of_siblings(frontier.withColumn("__i", control(path, element)), F.when(F.col("__i.reset"), place), "__reset", level, route.scope)
+            # siblings after a reset come with an empty path
+            told = told.withColumn("__path", F.when(place > F.col("__reset"), nothing).otherwise(path)).withColumn("__i", control(path, element))
+            told = told.withColumn("__path", F.when(F.col("__i.reset"), nothing).otherwise(path))
+            told = _least_of_siblings(told, F.when(~F.col("__i.siblings"), place), "__cut", level, route.scope)
+            frontier = told.filter(F.col("__cut").isNull() | (place <= F.col("__cut"))).drop("__cut", "__reset")
+            emits, expands = F.col("__i.emit"), F.col("__i.children")
         else:
             emits = F.lit(True) if emit is None else F.coalesce(emit(path, element), F.lit(False))
-            expands, resets = F.lit(True), F.lit(False)
+            expands = F.lit(True)
         if expand is not None:
             expands = expands & F.coalesce(expand(path, element), F.lit(False))
         grown = F.array_append(path, element)
@@ -133,7 +148,7 @@ def descend(
             grown = F.when(F.array_contains(path, element), path).otherwise(grown)
         found = frontier.filter(emits).withColumn("__emit", grown).withColumn("__level", F.lit(level))
         out = found if out is None else out.unionByName(found)
-        here = frontier.withColumn("__next", F.when(resets, F.array(element)).otherwise(grown)).withColumn("__silent", F.when(emits, 0).otherwise(F.col("__silent") + 1)).filter(expands)
+        here = frontier.withColumn("__next", grown).withColumn("__silent", F.when(emits, 0).otherwise(F.col("__silent") + 1)).filter(expands)
         if max_silent_levels is not None:
             here = here.filter(F.col("__silent") <= max_silent_levels)
         below = _children(here, route, step)
@@ -141,7 +156,7 @@ def descend(
             n = F.row_number().over(W.partitionBy("__dewey", *route.scope).orderBy("__child")).cast("long")
             below = below.withColumn("__dewey", F.array_append("__dewey", n))
         keep = [*carried, *(["__dewey"] if ordered else [])]
-        frontier = cut(below.select(*keep, F.col("__child").alias("vid"), F.col("__next").alias("__path"), "__silent"))
+        frontier = stored(below.select(*keep, F.col("__child").alias("vid"), F.col("__next").alias("__path"), "__silent"), "level")
     order = ("__dewey",) if ordered else ()
     keep = [*carried, *order, "__level"]
     if paths:
