@@ -3,8 +3,9 @@
 Labelled outcomes of pages (good or bad) are counted by host, registered domain and suffix.
 Each level's rate is shrunk to its parent's by a beta-binomial prior, whose strength is
 estimated from the spread of the children's rates; a host that has no outcomes of its own
-inherits.  A page that no rule covers is blocked only if the posterior probability of bad
-outcomes on its host is high even at its lower bound.
+inherits.  A page that no rule covers is blocked only if its host's rate of bad
+outcomes exceeds the limit even at the lower bound of its posterior; by default the limit is the rate
+over all outcomes, so hosts that are surely worse than the whole are blocked.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ TWO_LABEL_SUFFIXES = (
     "ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
     "com.mx", "com.tr", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
 )
-#: Normal quantile of the posterior bound, and the rate of bad outcomes it has to exceed.
-QUANTILE, MAX_BAD = 1.645, 0.5
+#: Normal quantile of the posterior bound.
+QUANTILE = 1.645
 #: Prior strengths, in outcomes, are kept between these.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
@@ -93,13 +94,18 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, f
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
     overall = ((bad or 0.0) + 0.5) / ((n or 0.0) + 2.0)
 
-    def posterior(level: DataFrame) -> DataFrame:
-        prior = level.join(_strength(level), "parent")
+    def posterior(level: DataFrame, one_parent: bool = False) -> DataFrame:
+        strength = _strength(level)
+        if one_parent:
+            only = strength.first()
+            prior = level.withColumn("strength", F.lit(only["strength"] if only else LEAST_STRENGTH))
+        else:
+            prior = level.join(strength, "parent")
         return prior.withColumn("alpha", F.col("bad") + F.col("strength") * F.col("rate")).withColumn("beta", F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("rate")))
 
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     by_suffix = hosts.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).withColumn("parent", F.lit("")).withColumn("rate", F.lit(overall))
-    by_suffix = cut(posterior(by_suffix).select("suffix", "alpha", "beta", mean.alias("mean")))
+    by_suffix = cut(posterior(by_suffix, one_parent=True).select("suffix", "alpha", "beta", mean.alias("mean")))
     by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     by_domain = by_domain.join(by_suffix.select("suffix", F.col("mean").alias("rate")), "suffix").withColumn("parent", F.col("suffix"))
     by_domain = cut(posterior(by_domain).select("domain", "alpha", "beta", mean.alias("mean")))
@@ -107,12 +113,12 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, f
     return cut(posterior(by_host).select("host", "alpha", "beta")), by_domain, by_suffix, overall
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], outcomes: DataFrame) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], outcomes: DataFrame, max_bad: float | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_bound`` of every row of ``pages``.
 
     ``outcomes`` (host, bad 0/1) are labelled page outcomes, whichever pages have one; without
     any, every page that no rule covers is allowed.  ``bad_bound`` is the lower posterior bound on the host's rate of bad
-    pages.  Urls that are null or have no ``://`` have an empty host and path and are judged
+    pages, from a normal posterior of its log odds; ``max_bad`` is the limit on it, None the rate over all outcomes.  Urls that are null or have no ``://`` have an empty host and path and are judged
     like any host.  Repeated rows get a row each, other columns are ignored, and an empty table gives none.
     """
     host, path = split_url(F.col("url"))
@@ -126,10 +132,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], outcomes: DataFrame) ->
     for k, (level, table) in enumerate((("host", by_host), ("domain", by_domain), ("suffix", by_suffix))):
         known = known.join(table.select(level, F.struct("alpha", "beta").alias(f"q{k}")), level, "left")
     q = F.coalesce("q0", "q1", "q2", F.struct(F.lit(2 * overall).alias("alpha"), F.lit(2 * (1 - overall)).alias("beta")))
-    total = q["alpha"] + q["beta"]
-    mean = q["alpha"] / total
-    bound = F.greatest(mean - QUANTILE * F.sqrt(mean * (1 - mean) / (total + 1)), F.lit(0.0))
+    odds = F.log(q["alpha"] / q["beta"]) - QUANTILE * F.sqrt(1 / q["alpha"] + 1 / q["beta"])
+    bound = 1 / (1 + F.exp(-odds))
     bounds = cut(known.select("host", F.round(bound, 6).alias("bad_bound")))
     out = judged.join(bounds, "host", "left")
-    final = F.coalesce("by_rule", F.when(F.col("bad_bound") > MAX_BAD, "block").otherwise("allow"))
+    final = F.coalesce("by_rule", F.when(F.col("bad_bound") > (overall if max_bad is None else max_bad), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"), "bad_bound")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -270,6 +271,52 @@ def test_domain_levels(spark):
     assert [(r["d"], r["s"]) for r in got] == [("b.co.uk", "co.uk"), ("b.example", "example"), ("example", "example"), ("10.0.0.1", ""), ("", ""), ("x.org", "org"), ("dot.example", "example")]
 
 
+def plain_bounds(outcomes: list[tuple[str, int]], hosts: set[str]) -> tuple[dict, float]:
+    """Lower posterior bounds with dictionaries; hosts are of the form x.domain.suffix."""
+    overall = (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 2)
+    levels = [lambda h: h.rsplit(".", 1)[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h]
+    above: dict = {"": None}
+    post: list[dict] = []
+    for k, key in enumerate(levels):
+        n, bad, parent = {}, {}, {}
+        for h, b in outcomes:
+            n[key(h)], bad[key(h)] = n.get(key(h), 0) + 1, bad.get(key(h), 0) + b
+            parent[key(h)] = levels[k - 1](h) if k else ""
+        table = {}
+        for p in set(parent.values()):
+            own = [c for c in n if parent[c] == p]
+            rate = overall if k == 0 else above[p][0] / sum(above[p])
+            even, total = rate * (1 - rate), sum(n[c] for c in own)
+            spread = sum(n[c] * (bad[c] / n[c] - rate) ** 2 for c in own) - (len(own) - 1) * even
+            between = spread / max(total - sum(n[c] ** 2 for c in own) / total, 1e-9)
+            strength = 2.0 if len(own) < 2 else 1000.0 if between <= 0 or even <= 0 else min(max(even / between - 1, 2.0), 1000.0)
+            for c in own:
+                table[c] = (bad[c] + strength * rate, n[c] - bad[c] + strength * (1 - rate))
+        post.append(table)
+        above = table
+    out = {}
+    for h in hosts:
+        a, b = next((t[key(h)] for t, key in zip(reversed(post), reversed(levels)) if key(h) in t), (2 * overall, 2 * (1 - overall)))
+        out[h] = 1 / (1 + math.exp(1.645 * math.sqrt(1 / a + 1 / b) - math.log(a / b)))
+    return out, overall
+
+
+def test_reputation_against_a_plain_version(spark):
+    rng = random.Random(12)
+    hosts = [f"h{k}.d{k % 9}.{['com', 'org', 'net'][k % 3]}" for k in range(60)]
+    rates = {h: rng.choice([0.05, 0.1, 0.6]) for h in hosts}
+    outcomes = [(h, int(rng.random() < rates[h])) for h in hosts[:50] for _ in range(rng.randrange(1, 60))]
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    got = U.filter_urls(pages, [], spark.createDataFrame(outcomes, "host string, bad int")).collect()
+    want, overall = plain_bounds(outcomes, set(hosts))
+    for r in got:
+        assert r["bad_bound"] == pytest.approx(want[r["host"]], abs=2e-6)
+        assert r["verdict"] == ("block" if r["bad_bound"] > overall else "allow")
+    # hosts are told apart: the bad ones with evidence go, no good one does
+    known = {r["host"]: r["verdict"] for r in got if sum(h == r["host"] for h, _ in outcomes) >= 20}
+    assert {known[h] for h in known if rates[h] == 0.6} == {"block"} and {known[h] for h in known if rates[h] < 0.6} == {"allow"}
+
+
 def test_urls_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, host string, rule string")
     assert U.filter_urls(pages, RULES, spark.createDataFrame([], "host string, bad int")).count() == 0
