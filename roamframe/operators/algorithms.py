@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roamframe.graph import Graph, Labels
 from roamframe.operators.components import star_components
-from roamframe.plans.scratch import cut
+from roamframe.plans.scratch import cut, stored
 from roamframe.route import Route
 
 
@@ -44,14 +44,14 @@ def is_acyclic(graph: Graph, labels: Labels = None) -> bool:
 
 def reachable(edges: DataFrame, start: DataFrame, max_levels: int = 10_000) -> DataFrame:
     """(origin, vid, level): what each start(origin, vid) reaches over edges(src, dst), itself at level 0."""
-    frontier = cut(start.select("origin", "vid").distinct().withColumn("level", F.lit(0)))
+    frontier = stored(start.select("origin", "vid").distinct().withColumn("level", F.lit(0)), "level")
     seen = frontier
     for level in range(1, max_levels + 1):
         step = frontier.join(edges, frontier["vid"] == edges["src"]).select("origin", F.col("dst").alias("vid")).distinct()
-        frontier = cut(step.join(seen.select("origin", "vid"), ["origin", "vid"], "left_anti").withColumn("level", F.lit(level)))
+        frontier = stored(step.join(seen.select("origin", "vid"), ["origin", "vid"], "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier)) if level % 8 == 0 else seen.unionByName(frontier)
+        seen = stored(seen.unionByName(frontier), "seen") if level % 8 == 0 else seen.unionByName(frontier)
     raise RuntimeError(f"still reaching new vertices after {max_levels} levels")
 
 
@@ -244,10 +244,10 @@ def breadth_first(route: Route, step: Callable[[Route], Route], max_levels: int
     frontier = seen
     for level in range(1, max_levels + 1):
         found = step(Route(route.graph, frontier.select("vid"), "vertex")).df.select("vid").distinct()
-        frontier = cut(found.join(seen.select("vid"), "vid", "left_anti").withColumn("level", F.lit(level)))
+        frontier = stored(found.join(seen.select("vid"), "vid", "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = stored(seen.unionByName(frontier), "seen") if level % 8 == 0 else seen.unionByName(frontier)
     raise RuntimeError(f"still reaching new vertices after {max_levels} levels")
 
 
