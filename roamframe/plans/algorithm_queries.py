@@ -11,7 +11,8 @@ from roamframe.operators import layout as L
 from roamframe.operators import motifs as M
 from roamframe.operators import ordered as O
 from roamframe.operators import recursion as R
-from roamframe.plans.registry import FOLLOWS_SQL, NEXT_SQL, TRADE_SQL, query, values
+from roamframe.plans.ranking import positioned
+from roamframe.plans.registry import FOLLOWS_SQL, NEXT_SQL, PLACED_SQL, TRADE_SQL, query, values
 from roamframe.route import Route
 from roamframe.sources import fixtures as X
 from roamframe.sources import tables as T
@@ -117,50 +118,54 @@ def recurse_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return R.all_cycles(g.V().lookahead(lambda r: r.out("trade")), lambda r: r.out("trade")).group_count().toDF("vid", "n")
 
 
-def _tree(spark: SparkSession, starts: tuple[int, ...] = (0, -1, 0, -2)) -> Route:
-    """Starts whose zeros have the children 1, 2 and 3."""
-    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "src bigint, dst bigint")
-    return Graph.from_edges(edges, "child").route(list(starts))
+def _placed(spark: SparkSession, sf: str) -> Graph:
+    """A forest: regions hold nations, nations hold customers."""
+    nation, customer = T.read(spark, sf, "nation"), T.read(spark, sf, "customer")
+    edges = nation.select(T.kinded("region", "n_regionkey").alias("src"), T.kinded("nation", "n_nationkey").alias("dst"))
+    return Graph.from_edges(edges.unionByName(customer.select(T.kinded("nation", "c_nationkey").alias("src"), T.kinded("customer", "c_custkey").alias("dst"))), "holds")
 
 
-def _descended(spark: SparkSession, control) -> DataFrame:
-    from roamframe.plans.ranking import positioned
+_FOREST = ", t AS (SELECT vid, [vid] AS path FROM (SELECT DISTINCT src AS vid FROM e WHERE src LIKE 'region:%') WHERE {start} UNION ALL SELECT dst, list_append(path, dst) FROM t JOIN e ON src = vid WHERE {go}) "
+_BEFORE = "NOT (src = (SELECT x.src FROM e x WHERE x.dst = 'nation:14') AND dst {op} 'nation:14')"
 
-    out = R.descend(_tree(spark), lambda r: r.out("child"), control=control, ordered=True)
-    return positioned(out.df, [F.col(c) for c in out.order], "place").select("place", "vid")
 
+def _is_region(e: F.Column) -> F.Column:
+    return e.startswith("region:")
 
+
+#: By name: control, and in SQL which starts and children are met and what is emitted.
 _CONTROLS = {
-    "plain": (None, (0, 1, 2, 3, -1, 0, 1, 2, 3, -2)),
-    "continue": (lambda p, e: R.continue_(), ()),
-    "skip_zero": (lambda p, e: F.when(e == 0, R.continue_()).otherwise(R.emit_()), (1, 2, 3, -1, 1, 2, 3, -2)),
-    "emit": (lambda p, e: R.emit_(), (0, -1, 0, -2)),
-    "cut": (lambda p, e: F.when(e == 2, R.cut_()).otherwise(R.emit_and_continue()), (0, 1, -1, 0, 1, -2)),
-    "emit_and_cut": (lambda p, e: F.when(e == 2, R.emit_and_cut()).otherwise(R.emit_and_continue()), (0, 1, 2, -1, 0, 1, 2, -2)),
-    "ignore": (lambda p, e: F.when(e.isin(0, 1), R.emit_and_continue()).when(e == 2, R.cut_()).otherwise(R.ignore()), (0, 1, 0, 1)),
-    "emit_and_chain": (lambda p, e: F.when(e == 0, R.emit_and_chain()).otherwise(R.emit_and_continue()), (0, 1, 2, 3)),
-    "chain": (lambda p, e: F.when(e == 0, R.chain()).otherwise(R.emit_and_continue()), (1, 2, 3)),
+    "plain": (None, "true", "true", "true"),
+    "continue": (lambda p, e: R.continue_(), "true", "true", "false"),
+    "skip_regions": (lambda p, e: F.when(_is_region(e), R.continue_()).otherwise(R.emit_()), "true", "src LIKE 'region:%'", "vid NOT LIKE 'region:%'"),
+    "emit": (lambda p, e: R.emit_(), "true", "false", "true"),
+    "cut": (lambda p, e: F.when(e == "nation:14", R.cut_()).otherwise(R.emit_and_continue()), "true", _BEFORE.format(op=">="), "true"),
+    "emit_and_cut": (lambda p, e: F.when(e == "nation:14", R.emit_and_cut()).otherwise(R.emit_and_continue()), "true", _BEFORE.format(op=">") + " AND src <> 'nation:14'", "true"),
+    "ignore": (lambda p, e: F.when(e == "nation:14", R.cut_()).when(e.startswith("customer:"), R.ignore()).otherwise(R.emit_and_continue()), "true", "src LIKE 'region:%' AND " + _BEFORE.format(op=">="), "true"),
+    "emit_and_chain": (lambda p, e: F.when(_is_region(e), R.emit_and_chain()).otherwise(R.emit_and_continue()), "vid = 'region:0'", "true", "true"),
+    "chain": (lambda p, e: F.when(_is_region(e), R.chain()).otherwise(R.emit_and_continue()), "vid = 'region:0'", "true", "vid NOT LIKE 'region:%'"),
 }
 
 
-def _control(name: str, control, expected: tuple[int, ...]) -> None:
+def _control(name: str, control, start: str, go: str, emit: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _descended(spark, control)
+        g = _placed(spark, sf)
+        out = R.descend(g.V().filter(_is_region(F.col("vid"))), lambda r: r.out("holds"), control=control, ordered=True)
+        return positioned(out.df, [F.col(c) for c in out.order], "place").select("place", "vid")
 
     run.__name__ = f"descend_{name}"
-    rows = [(k + 1, v) for k, v in enumerate(expected)]
-    casts = "CAST(place AS BIGINT) AS place, CAST(vid AS BIGINT) AS vid"
-    query(f"SELECT {casts} FROM ({values('place, vid', rows or [(0, 0)])}) WHERE place > 0")(run)
+    query(_FOREST.format(start=start, go=go) + f"SELECT row_number() OVER (ORDER BY path) AS place, vid FROM t WHERE {emit}", PLACED_SQL, recursive=True)(run)
 
 
-for _name, (_c, _e) in _CONTROLS.items():
-    _control(_name, _c, _e)
+for _name, _how in _CONTROLS.items():
+    _control(_name, *_how)
 
 
-@query(values("path", [("0",), ("0>1",), ("0>2",), ("0>3",), ("-1",), ("0",), ("0>1",), ("0>2",), ("0>3",), ("-2",)]))
+@query(_FOREST.format(start="true", go="true") + "SELECT array_to_string(path, '>') AS path FROM t", PLACED_SQL, recursive=True)
 def descents_plain(spark: SparkSession, sf: str) -> DataFrame:
     """Paths instead of elements."""
-    return R.descend(_tree(spark), lambda r: r.out("child"), paths=True).df.select(F.concat_ws(">", F.col("value").cast("array<string>")).alias("path"))
+    g = _placed(spark, sf)
+    return R.descend(g.V().filter(_is_region(F.col("vid"))), lambda r: r.out("holds"), paths=True).df.select(_joined().alias("path"))
 
 
 @query(values("path", [("a",), ("b",), ("b>c",), ("b>c>d",), ("e",)]))
@@ -277,10 +282,32 @@ def _golden(name: str, columns: str, kinds: str, rows: list[tuple], run) -> None
     query(f"SELECT {casts} FROM ({values(columns, rows)})")(call)
 
 
-_golden("order_post_order", "vid, n", "string int", [("D", 0), ("B", 1), ("E", 2), ("C", 3), ("T", 4), ("A", 5)], lambda s: sorted(_flow("simple").post_order_numbering().items(), key=lambda x: x[1]))
-_golden("order_reverse_post_order", "vid, n", "string int", [("A", 0), ("T", 1), ("C", 2), ("E", 3), ("B", 4), ("D", 5)], lambda s: list(O.FlowGraph.of(X.fixture(s, "simple"), "to", "A").reverse_post_order_numbering().items()))
-_golden("order_prewalk_fold", "text", "string", [("ABDTCE",)], lambda s: [(_flow("simple").prewalk_reduce("", lambda acc, v: acc + v),)])
-_golden("order_breadth_first", "vid, n", "string int", [("A", 0), ("B", 1), ("T", 2), ("D", 3), ("C", 4), ("E", 5)], lambda s: [(v, n) for n, v in enumerate(_flow("simple").breadth_first())])
+_ENTERED = _FOREST.format(start="vid = 'region:0'", go="true")
+
+
+def _walk(name: str, order: str, run) -> None:
+    """Numbers of what region 0 holds, in one of a flow graph's orders."""
+
+    def call(spark: SparkSession, sf: str) -> DataFrame:
+        numbered = run(O.FlowGraph.of(_placed(spark, sf), "holds", "region:0"))
+        return spark.createDataFrame(list(numbered.items()), "vid string, n int")
+
+    call.__name__ = name
+    query(_ENTERED + f"SELECT vid, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS n FROM t", PLACED_SQL, recursive=True)(call)
+
+
+# '~' sorts after every id: an element follows all that it holds
+_walk("order_post_order", "list_append(path, '~')", lambda f: f.post_order_numbering())
+_walk("order_reverse_post_order", "list_append(path, '~') DESC", lambda f: f.reverse_post_order_numbering())
+_walk("order_breadth_first", "len(path), path", lambda f: {v: n for n, v in enumerate(f.breadth_first())})
+
+
+@query(_ENTERED + "SELECT string_agg(vid, ' ' ORDER BY path) AS text FROM t", PLACED_SQL, recursive=True)
+def order_prewalk_fold(spark: SparkSession, sf: str) -> DataFrame:
+    walked = O.FlowGraph.of(_placed(spark, sf), "holds", "region:0").prewalk_reduce("", lambda acc, v: f"{acc} {v}" if acc else v)
+    return spark.createDataFrame([(walked,)], "text string")
+
+
 _golden(
     "order_intervals", "graph, members", "string string",
     [("flow", "A,B,C,D,F,G,J,S"), ("flow", "E,H"), ("flow", "I"), ("flow", "K"), ("flow2", "A,S"), ("flow2", "B"), ("flow2", "C,D,E"), ("flow2", "F,G,H,I"), ("flow2", "J,K"), ("flow2", "L,M,N"), ("flow2", "O"), ("flow2", "P,Q")],
@@ -304,9 +331,24 @@ def order_biconnected_components(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("component", F.col("block").alias("b")).agg(F.concat_ws(",", F.array_sort(F.collect_list("vid"))).alias("block")).select("block")
 
 
-@query(values("vid", [("c",), ("d",)]))
+_SPLIT = """
+, m AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)
+, r AS (SELECT a AS gone, min(b) AS vid FROM m GROUP BY 1 UNION SELECT gone, b FROM r JOIN m ON a = vid WHERE b <> gone)
+, c AS (SELECT a AS v, b AS vid FROM m UNION SELECT v, b FROM c JOIN m ON a = vid)
+SELECT DISTINCT v AS vid FROM c WHERE v <> vid AND NOT EXISTS (SELECT 1 FROM r WHERE gone = v AND r.vid = c.vid)
+"""
+
+
+def _partners(spark: SparkSession, sf: str) -> Graph:
+    """Suppliers' and customers' nations of the trade graph's strongest edges, without direction."""
+    best = T.trade(spark, sf, top=1).e
+    pairs = best.select(F.lit("trade").alias("label"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return Graph(T.trade(spark, sf).v, pairs, {"trade": "undirected"})
+
+
+@query(_SPLIT, TRADE_SQL.replace("r <= 2", "r <= 1"), recursive=True)
 def order_articulation_points(spark: SparkSession, sf: str) -> DataFrame:
-    return O.articulation_points(X.fixture(spark, "blocks", edge_type="undirected"), "to")
+    return O.articulation_points(_partners(spark, sf), "trade")
 
 
 # -- recipes

@@ -40,6 +40,11 @@ e AS (
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
             WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE r <= 2
 )"""
+PLACED_SQL = """
+e AS (
+    SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation
+    UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+)"""
 FOLLOWS_SQL = """
 f AS (
     SELECT * FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL

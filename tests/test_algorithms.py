@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from roamframe.graph import Graph
 from roamframe.operators import algorithms as A
 from roamframe.operators import ordered as O
 from roamframe.operators import recursion as R
@@ -157,3 +158,31 @@ def test_undirected_only(spark):
         A.connected_components(X.fixture(spark, "blocks"), "to")
     got = {r["vid"] for r in O.articulation_points(X.fixture(spark, "blocks", edge_type="undirected"), "to").filter(F.col("vid").isNotNull()).collect()}
     assert got == {"c", "d"}
+
+
+@pytest.mark.parametrize(
+    ("control", "want"),
+    [
+        (None, (0, 1, 2, 3, -1, 0, 1, 2, 3, -2)),
+        (lambda p, e: R.continue_(), ()),
+        (lambda p, e: F.when(e == 0, R.continue_()).otherwise(R.emit_()), (1, 2, 3, -1, 1, 2, 3, -2)),
+        (lambda p, e: F.when(e == 2, R.cut_()).otherwise(R.emit_and_continue()), (0, 1, -1, 0, 1, -2)),
+        (lambda p, e: F.when(e == 2, R.emit_and_cut()).otherwise(R.emit_and_continue()), (0, 1, 2, -1, 0, 1, 2, -2)),
+        (lambda p, e: F.when(e.isin(0, 1), R.emit_and_continue()).when(e == 2, R.cut_()).otherwise(R.ignore()), (0, 1, 0, 1)),
+        (lambda p, e: F.when(e == 0, R.chain()).otherwise(R.emit_and_continue()), (1, 2, 3)),
+    ],
+)
+def test_controls_of_a_descent(spark, control, want):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "src bigint, dst bigint"), "child")
+    out = R.descend(g.route([0, -1, 0, -2]), lambda r: r.out("child"), control=control, ordered=True)
+    assert tuple(r["vid"] for r in out.df.orderBy(*out.order).collect()) == want
+
+
+def test_orders_of_a_small_flow_graph():
+    flow = O.FlowGraph.from_pairs(X.ENTRY["simple"], X.pairs("simple"))
+    assert flow.postwalk() == list("DBECTA") and flow.reverse_postwalk() == list("ATCEBD")
+    assert "".join(flow.prewalk()) == "ABDTCE" and "".join(flow.breadth_first()) == "ABTDCE"
+
+
+def test_articulation_points_of_blocks(spark):
+    assert {r["vid"] for r in O.articulation_points(X.fixture(spark, "blocks", edge_type="undirected"), "to").collect()} == {"c", "d"}
