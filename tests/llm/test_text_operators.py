@@ -379,6 +379,27 @@ def test_ids_equal_the_tokenizers_library():
     assert np.frombuffer(encode("<|endoftext|> hi"), dtype="<u4").tolist() == [50256, 23105]
 
 
+def test_ids_of_very_long_texts_and_runs_of_white_space(monkeypatch):
+    import public_tokenizers
+    from roamframe.llm import _tokens
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder()
+    run = _tokens.RUN_LENGTH
+    texts = [
+        " " * (run - 1) + "x", " " * run + "x", "x" + "\n" * run, " " * 60_000, "a " + "\t\u3000" * run + "'s b" + "\n" * run + "<|endoftext|>" + " " * run + "z",
+        "\x1c" * run + " a", "a" * 50_000 + " b", "word  two\n it's 12 ok!! " * 20_000,
+    ]
+    for text in texts:
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, (len(text), text[:20])
+    monkeypatch.setattr(_tokens, "BLOCK_LENGTH", 64)
+    text = texts[-1][:20_000]
+    assert np.frombuffer(encode(text), dtype="<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    # far beyond what the encoder's pattern matches
+    assert len(encode(" " * 1_000_000 + "x")) % 4 == 0
+
+
 # -- rollups
 
 
