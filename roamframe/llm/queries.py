@@ -73,17 +73,24 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch 1 inserts every document under a count estimated from its length, batch 2 revises the counts to the tokenizer's, and is delivered twice."""
+    """Batch 1 inserts every document under a count estimated from its length, batch 2 moves all of them to the tokenizer's version, batch 3 revises the counts to it.
+
+    Batches 2 and 3 are delivered twice, batch 2 once more after it was folded into a snapshot.
+    """
     docs = _table(spark, sf_dir, "documents")
     version = "byte_bpe_50k"
     length = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
     estimate = F.floor(length / 4).cast("bigint")
     rollup = token_rollup.TokenRollup(spark, f"{checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
     new = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), length.alias("n_chars"), estimate.alias("n_tokens"))
-    rollup.commit(1, token_rollup.inserted(new, version))
+    rollup.commit(1, token_rollup.inserted(new, "length_estimate"))
+    relabelled = token_rollup.moved(new, "length_estimate", version)
+    rollup.commit(2, relabelled)
+    rollup.compact()
+    rollup.commit(2, relabelled)
     counted = token_rollup.revised(token_rollup.count_tokens(docs.withColumn("old_tokens", estimate)), version)
-    rollup.commit(2, counted)
-    rollup.commit(2, counted)
+    rollup.commit(3, counted)
+    rollup.commit(3, counted)
     return rollup.totals()
 
 

@@ -53,6 +53,11 @@ def deleted(rows: DataFrame, tokenizer: str) -> DataFrame:
     return inserted(rows, tokenizer).select(*KEYS, *[(-F.col(a)).alias(a) for a in AMOUNTS])
 
 
+def moved(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """Signed amounts of rows that leave one tokenizer version for another, their counts unchanged."""
+    return deleted(rows, old).unionByName(inserted(rows, new))
+
+
 def revised(rows: DataFrame, tokenizer: str) -> DataFrame:
     """Signed amounts of rows whose count changes from old_tokens to n_tokens."""
     return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("bigint").alias("n_docs"), (F.col("n_tokens") - F.coalesce("old_tokens", F.lit(0))).alias("n_tokens"), F.lit(0).cast("bigint").alias("n_chars"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roamframe.llm import exact_dedup, mixing, ngram_jaccard, packing, secrets, token_rollup, toxicity
+from roamframe.llm import exact_dedup, mixing, ngram_jaccard, packing, queries, secrets, token_rollup, toxicity
 
 from .conftest import DOCS, corpus, prose
 
@@ -427,6 +427,34 @@ def test_rollup_is_idempotent_and_keeps_totals(spark, docs, tmp_path):
         rollup.commit(0, first)
 
 
+def test_rollup_moves_rows_between_versions(spark, docs, empty, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
+    rows = token_rollup.count_tokens(docs)
+    rollup.commit(1, token_rollup.inserted(rows, "v1"))
+    before = sorted((r["source"] or "", r["lang"] or "", r["n_docs"], r["n_tokens"], r["n_chars"]) for r in rollup.totals().collect())
+    move = token_rollup.moved(rows, "v1", "v2")
+    assert rollup.commit(2, move) and not rollup.commit(2, move)
+    assert rollup.compact() == 2 and not rollup.commit(2, move)
+    after = rollup.totals().collect()
+    assert {r["tokenizer"] for r in after} == {"v2"}
+    assert sorted((r["source"] or "", r["lang"] or "", r["n_docs"], r["n_tokens"], r["n_chars"]) for r in after) == before
+    assert rollup.commit(3, token_rollup.moved(token_rollup.count_tokens(empty), "v2", "v3"))
+    assert rollup.totals().count() == len(before)
+
+
+def test_rollup_query_against_a_plain_version(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    encode = token_rollup.encoder()
+    want: dict = {}
+    for r in corpus():
+        text = r[1] or ""
+        have = want.get((r[3], r[2]), (0, 0, 0))
+        want[r[3], r[2]] = tuple(a + b for a, b in zip(have, (1, len(encode(text)) // 4, len(text)), strict=True))
+    got = queries.op10_token_rollup(spark, str(tmp_path)).collect()
+    assert {r["tokenizer"] for r in got} == {"byte_bpe_50k"}
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in got} == want
+
+
 def test_rollup_overwrites_a_failed_attempt(spark, docs, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
     rows = token_rollup.inserted(token_rollup.count_tokens(docs), "v1")
