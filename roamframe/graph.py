@@ -26,6 +26,7 @@ if TYPE_CHECKING:
 
 DAG, DIGRAPH, UNDIRECTED = "dag", "digraph", "undirected"
 Labels = str | Iterable[str] | None
+OnMissing = Callable[[list[tuple], Sequence, Sequence], Iterable[tuple]]
 
 
 def label_list(labels: Labels) -> list[str] | None:
@@ -38,6 +39,10 @@ class VertexNotFound(LookupError):
     """No such vertex, and no default was given."""
 
 
+class MissingDocuments(ValueError):
+    """A list of documents is not as long as the list of vertices it goes with."""
+
+
 class CyclicGraph(ValueError):
     """A label declared acyclic has a cycle."""
 
@@ -329,13 +334,30 @@ class GraphBuilder:
         self._edges.setdefault(label, []).append(self._sequenced(rows, order).select("src", "dst", "doc", "__seq"))
         return self
 
-    def add_edges_from(self, label: str, src, targets: DataFrame, edge_type: str | None = None) -> GraphBuilder:
-        """A star out of one vertex: targets(vid[, doc])."""
-        return self.add_edges(label, targets.withColumn("src", F.lit(src)).withColumnRenamed("vid", "dst"), edge_type)
-
-    def add_edges_to(self, label: str, sources: DataFrame, dst, edge_type: str | None = None) -> GraphBuilder:
-        """A star into one vertex: sources(vid[, doc])."""
-        return self.add_edges(label, sources.withColumn("dst", F.lit(dst)).withColumnRenamed("vid", "src"), edge_type)
+    def add_edges_from(self, label: str, src, targets: DataFrame | Sequence, edge_type: str | None = None, documents: Sequence | None = None, on_missing: OnMissing | None = None) -> GraphBuilder:
+        """A star out of one vertex: targets(vid[, doc]), or a list of ids with a list of documents in the same order."""
+        rows = self._star(targets, documents, on_missing)
+        return self.add_edges(label, rows.withColumn("src", F.lit(src)).withColumnRenamed("vid", "dst"), edge_type)
+
+    def add_edges_to(self, label: str, sources: DataFrame | Sequence, dst, edge_type: str | None = None, documents: Sequence | None = None, on_missing: OnMissing | None = None) -> GraphBuilder:
+        """A star into one vertex: sources(vid[, doc]), or a list of ids with a list of documents in the same order."""
+        rows = self._star(sources, documents, on_missing)
+        return self.add_edges(label, rows.withColumn("dst", F.lit(dst)).withColumnRenamed("vid", "src"), edge_type)
+
+    def _star(self, ends: DataFrame | Sequence, documents: Sequence | None, on_missing: OnMissing | None) -> DataFrame:
+        """Rows(vid[, doc]).  Lists of unequal length go to ``on_missing``, which returns the (id, document) pairs to add; without it they raise."""
+        if isinstance(ends, DataFrame):
+            if documents is not None:
+                raise TypeError("a DataFrame of ends brings its documents in its column doc")
+            return ends
+        if documents is None:
+            return self.spark.createDataFrame([(v,) for v in ends], ["vid"])
+        pairs = list(zip(ends, documents, strict=False))
+        if len(ends) != len(documents):
+            if on_missing is None:
+                raise MissingDocuments(f"{len(ends)} vertices and {len(documents)} documents")
+            pairs = list(on_missing(pairs, ends, documents))
+        return self.spark.createDataFrame(pairs, ["vid", "doc"])
 
     def _resolved(self, label: str) -> DataFrame:
         rule, default = self._rules.get(label, ("unique", 0.0))

@@ -96,6 +96,7 @@ def descend(
     ordered: bool = False,
     max_levels: int = 200,
     max_silent_levels: int | None = None,
+    on_silent: Callable[[Column, Column, Column], Column] | None = None,
     stop_quietly: bool = False,
     keep_repeats: bool = True,
 ) -> Route:
@@ -104,7 +105,8 @@ def descend(
     ``control(path, element)`` gives an instruction; the path is the array of ids above the
     element.  ``expand`` and ``emit`` are plain conditions for the same two decisions.  With
     ``paths`` the result is values: the path including the element.  With ``ordered`` it has
-    depth-first order, siblings by id.  ``keep_repeats`` False gives paths as ordered sets: an
+    depth-first order, siblings by id.  A branch that has emitted nothing for more than ``max_silent_levels``
+    levels ends there, or goes on where ``on_silent(path, element, levels)`` holds.  ``keep_repeats`` False gives paths as ordered sets: an
     element that closes a cycle is not written twice.
     """
     ordered = ordered or control is not None
@@ -150,7 +152,8 @@ def descend(
         out = found if out is None else out.unionByName(found)
         here = frontier.withColumn("__next", grown).withColumn("__silent", F.when(emits, 0).otherwise(F.col("__silent") + 1)).filter(expands)
         if max_silent_levels is not None:
-            here = here.filter(F.col("__silent") <= max_silent_levels)
+            goes_on = F.lit(False) if on_silent is None else F.coalesce(on_silent(F.col("__next"), element, F.col("__silent")), F.lit(False))
+            here = here.filter((F.col("__silent") <= max_silent_levels) | goes_on)
         below = _children(here, route, step)
         if ordered:
             n = F.row_number().over(W.partitionBy("__dewey", *route.scope).orderBy("__child")).cast("long")

@@ -1,7 +1,7 @@
 """Reliable intermediate storage.
 
 Iterative operators cut lineage with reliable checkpoints.  The folder is the one
-the cluster names in ``spark.checkpoint.dir``; only where a session names none (a
+the cluster names in ``spark.checkpoint.dir``; only where a local session names none (a
 unit test, a notebook) is a temporary folder set.
 """
 
@@ -19,6 +19,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="roamframe-"))
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()

@@ -377,27 +377,40 @@ class Route:
 
     def prevent_cycles(self) -> Route:
         """Everything before the first repeated element."""
-        return self._until_repeat(False)
+        return self._until_repeat(lambda element: F.lit(False))
 
-    def no_cycles(self) -> Route:
-        """The route itself, or an error when read if an element repeats."""
-        return self._until_repeat(True)
+    def no_cycles(self, on_cycle: Callable[[Column], Column] | None = None) -> Route:
+        """The route itself, or an error when read if an element repeats.
 
-    def _until_repeat(self, fail: bool) -> Route:
+        ``on_cycle`` decides about a repeated element instead: true keeps it and goes on, anything else ends the route before it.
+        """
+        return self._until_repeat(on_cycle)
+
+    def _until_repeat(self, goes_on: Callable[[Column], Column] | None) -> Route:
         order = self._need_order("cutting at a repeat")
         placed = positioned(self.df, order, "__p", self.scope)
         again = F.row_number().over(W.partitionBy(*self.scope, self.element).orderBy("__p"))
         marked = placed.withColumn("__again", again)
+        stops = F.col("__again") > 1
+        if goes_on is not None:
+            stops = stops & ~F.coalesce(goes_on(self.element), F.lit(False))
         # one row per scope
-        cuts = marked.filter("__again > 1").groupBy(*self.scope).agg(F.min("__p").alias("__cut"))
+        cuts = marked.filter(stops).groupBy(*self.scope).agg(F.min("__p").alias("__cut"))
         if self.scope:
             rows = marked.join(cuts, list(self.scope), "left")
         else:
             rows = marked.withColumn("__cut", cuts.scalar())
-        if fail:
+        if goes_on is None:
             rows = rows.withColumn("__ok", F.when(F.col("__cut").isNotNull(), F.raise_error(F.lit("an element repeats in the route"))).otherwise(F.lit(True))).filter("__ok").drop("__ok")
         return self._new(rows.filter("__cut is null or __p < __cut").drop("__p", "__again", "__cut"))
 
+    def random_sample(self, share: float, seed: int = 0) -> Route:
+        """Each element with this probability; equal elements of a scope share their fate, so the same seed gives the same rows on any partitioning."""
+        if not 0 <= share <= 1:
+            raise ValueError(f"no probability: {share}")
+        drawn = F.xxhash64(F.lit(seed), *[F.col(c) for c in self.scope], self.element).bitwiseAND(F.lit((1 << 53) - 1))
+        return self.filter(drawn < F.lit(int(share * (1 << 53))))
+
     def pluck(self, condition: Column) -> Route:
         """The first element that meets the condition."""
         return self.filter(condition).take(1)

@@ -65,8 +65,10 @@ def graph_of(spark: SparkSession, sf_dir: str, vertices: Sequence[VertexMap], ed
         parts.append(read(spark, sf_dir, v.table).select(kinded(v.kind, v.key).alias("vid"), F.lit(v.kind).alias("kind"), doc.alias("doc")))
     rows = []
     for e in edges:
-        pairs = read(spark, sf_dir, e.table).select(F.lit(e.label).alias("label"), kinded(e.src[0], e.src[1]).alias("src"), kinded(e.dst[0], e.dst[1]).alias("dst"))
-        rows.append(pairs.distinct() if e.unique else pairs)
+        pairs = read(spark, sf_dir, e.table).select(F.col(e.src[1]).alias("src"), F.col(e.dst[1]).alias("dst"))
+        if e.unique:  # over the short keys, before they become ids
+            pairs = pairs.distinct()
+        rows.append(pairs.select(F.lit(e.label).alias("label"), kinded(e.src[0], "src").alias("src"), kinded(e.dst[0], "dst").alias("dst")))
     v, e = parts[0], rows[0]
     for p in parts[1:]:
         v = v.unionByName(p)

@@ -186,3 +186,15 @@ def test_orders_of_a_small_flow_graph():
 
 def test_articulation_points_of_blocks(spark):
     assert {r["vid"] for r in O.articulation_points(X.fixture(spark, "blocks", edge_type="undirected"), "to").collect()} == {"c", "d"}
+
+
+def test_silent_branches_end_or_ask(spark):
+    chain = Graph.from_edges(spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long"), "to")
+
+    def found(**more) -> list:
+        return sorted(r["vid"] for r in R.descend(chain.route([0]), lambda r: r.out("to"), emit=lambda p, e: e.isin(0, 5), **more).df.collect())
+
+    assert found() == [0, 5]
+    assert found(max_silent_levels=2) == [0]
+    assert found(max_silent_levels=2, on_silent=lambda path, element, levels: element >= 3) == [0, 5]
+    assert found(max_silent_levels=2, on_silent=lambda path, element, levels: levels < 4) == [0]

@@ -3,10 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from roamframe.graph import CyclicGraph, Graph, GraphBuilder, VertexNotFound
+from roamframe.graph import CyclicGraph, Graph, GraphBuilder, MissingDocuments, VertexNotFound
 from roamframe.functions import paths as P
 from roamframe.operators.views import GraphView
-from roamframe.route import Unordered, merge_round_robin
+from roamframe.route import Route, Unordered, merge_round_robin
 from roamframe.sources import text as X
 from roamframe.sources.fixtures import fixture
 
@@ -38,6 +38,24 @@ def test_edge_rules(spark):
         GraphBuilder(spark).edge_rule("p", "other")
 
 
+def test_stars_from_lists_need_a_document_a_vertex(spark):
+    g = GraphBuilder(spark).add_edges_from("s", "hub", ["a", "b"], documents=["1", "2"]).add_edges_to("t", ["c"], "hub").freeze()
+    assert {(r["src"], r["dst"], r["doc"]) for r in g.e.collect()} == {("hub", "a", "1"), ("hub", "b", "2"), ("c", "hub", None)}
+    with pytest.raises(MissingDocuments):
+        GraphBuilder(spark).add_edges_from("s", "hub", ["a", "b"], documents=["1"])
+    told = GraphBuilder(spark).add_edges_to("s", ["a", "b"], "hub", documents=["1"], on_missing=lambda pairs, ends, docs: [*pairs, ("b", None)]).freeze()
+    assert {(r["src"], r["doc"]) for r in told.e.collect()} == {("a", "1"), ("b", None)}
+
+
+def test_random_sample_is_repeatable_and_near_its_share(knows, spark):
+    r = knows.route(spark.range(10_000).select(F.col("id").cast("string").alias("vid")))
+    some = ids(r.random_sample(0.3, 7))
+    assert 2_700 < len(some) < 3_300 and some == ids(Route(knows, r.df.repartition(7), "vertex").random_sample(0.3, 7)) != ids(r.random_sample(0.3, 8))
+    assert not ids(r.random_sample(0.0)) and len(ids(r.random_sample(1.0))) == 10_000
+    with pytest.raises(ValueError):
+        r.random_sample(1.5)
+
+
 def test_a_label_declared_acyclic_has_to_be(spark):
     chain = edges(spark, [("a", "b", None), ("b", "c", None)])
     assert GraphBuilder(spark).add_edges("d", chain, "dag").freeze().e.count() == 2
@@ -86,6 +104,8 @@ def test_order_has_to_be_given(knows):
     assert ids(r.prevent_cycles()) == ["a", "b", "c"]
     with pytest.raises(Exception, match="repeats"):
         r.no_cycles().df.collect()
+    assert ids(r.no_cycles(lambda e: F.lit(False))) == ["a", "b", "c"]
+    assert ids(r.no_cycles(lambda e: e == "a")) == ["a", "a", "b", "c", "d"]
     assert ids(r.distinct()) == ["a", "b", "c", "d"]
     assert ids(r.drop_take([1, 2, 1, 1])) == ["a", "b", "d"] and ids(r.last()) == ["d"]
 
