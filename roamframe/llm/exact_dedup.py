@@ -88,7 +88,11 @@ def duplicate_groups(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: one row per distinct text."""
+    """The rows of ``docs`` that stay, with its columns: one row per distinct text.
+
+    Null and empty texts are one text, of which one row stays; of rows that agree in doc_id and text too, one stays.
+    An empty table stays empty.
+    """
     thin = stored(_fingerprints(docs), "fingerprints")
     filters = cut(repeat_filter(thin, bits=bits))
     best = _best(possibly_repeated(thin, filters, bits=bits).filter("repeated").select("doc_id", "n", "sha"))

@@ -262,7 +262,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's padded bytes as a Matroska file; null counts as empty."""
+    """``doc_id, n_bytes, media``: each text's padded bytes as a Matroska file.
+
+    Null counts as empty; repeated rows get a row each, an empty table gives none, and other columns are neither read nor kept.
+    """
     return prepared(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encode, "doc_id bigint, n_bytes bigint, media binary")
 
 
@@ -291,7 +294,5 @@ def _tables(batches: Iterator[pa.RecordBatch], frame_ns: dict[int, int]) -> Iter
 def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media", frame_ns: dict[int, int] | None = None) -> DataFrame:
     """A row per packet: key, number, track, timestamp, byte range, cluster and lacing; null media have none."""
     rows = prepared(media).select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("media"))
-
-
     out = rows.mapInArrow(partial(_tables, frame_ns=frame_ns or {}), ", ".join(f"{n} bigint" for n in ("key", "packet", *Packet._fields)))
     return out.withColumnRenamed("key", key)

@@ -68,7 +68,13 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals under a shared folder.  Null sources and languages are keys of their own."""
+    """Totals under a shared folder.
+
+    Null sources and languages are keys of their own, null texts count no characters and no tokens, rows that
+    repeat count each time, and a batch without rows is committed too.  One writer at a time: of two that commit one id
+    at once, the later replaces what the earlier wrote, and a reader may meet the folder half written; the caller has
+    to see to that.  Any number of readers and any number of repeated deliveries are safe.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
