@@ -279,6 +279,20 @@ def test_large_regions_split_without_losing_a_link(spark, leaf_rows):
         assert 100 * shared >= 80 * (len(sets[r["src"]]) + len(sets[r["dst"]]) - shared)
 
 
+def test_tables_of_shingles_grow_and_leave_copies_out(spark):
+    """Copies of a text share no region, and a table of many shingles isn't full."""
+    texts = [prose(k, 80) for k in range(30)] * 3 + family(52, 5, 80, 3) + [prose(0, 80) + " end"] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = [r["h"] for r in ngram_jaccard._shared_shingles(docs, 5, 2**64 - 1).collect()]
+    holders = Counter(g for s in {shingles(t) for t in texts} for g in s)
+    assert len(got) == len(set(got)) == sum(n > 1 for n in holders.values()) > 50
+    for n in (0, 1, 3000, 200_000):
+        table = ngram_jaccard._bit_table(spark.range(n).select(F.xxhash64("id").alias("h")))
+        hashes = spark.range(n).select(F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
+        assert ngram_jaccard._is_set(table, hashes).all()
+        assert np.unpackbits(table).mean() < 0.25
+
+
 def test_leaf_counts_every_intersection():
     rng = np.random.default_rng(4)
     core = rng.integers(0, 2**62, 500)
