@@ -10,9 +10,10 @@ over the whole text and over its most toxic stretches of a few words, since an i
 long text vanishes in the mean.  A logistic regression on a held-out part of the training
 rows turns these figures into a probability.
 
-Words are hashed to ``2**WORD_BITS`` buckets, so the model has a fixed size.  Training reads
-at most ``MAX_TRAINING_ROWS`` labelled rows, chosen by hash, and every text once without its label
-for the continuation counts; scoring reads every text once.
+Words are hashed to ``2**WORD_BITS`` buckets.  Training counts every labelled row outside fold 0, and
+reads every text once without its label for the continuation counts; the model holds the bigrams that reach
+``MIN_EVIDENCE``, 24 bytes each.  Texts are joined with labels where they lie up to ``BROADCAST_ROWS``
+training rows, and shuffled beyond.  Scoring reads every text once.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from roamframe.llm import _bytes as B
 from roamframe.plans.scratch import stored
 from roamframe.plans.workers import prepared
 
-#: Documented bound: labelled rows that training reads; a hash of doc_id chooses them.
-MAX_TRAINING_ROWS = 12_000
+#: Training rows of three integers that a join broadcasts; more are joined by a shuffle of the texts, and none is left out.
+BROADCAST_ROWS = 1 << 21
 WORD_BITS = 18
 #: Documents of a class from which an expression counts; absolute discount.
 MIN_EVIDENCE, DISCOUNT = 4, 0.75
@@ -81,6 +82,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, type=pa.binary())], [*batch.schema.names, "sketch"])
 
 
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketched rows without their text."""
+    for batch in _sketched(batches):
+        yield batch.select(["doc_id", "y", "fold", "sketch"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different (context, word) pairs of each batch."""
     for batch in batches:
@@ -100,7 +107,7 @@ def _continuations(docs: DataFrame) -> np.ndarray:
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per (context, word, group) per batch; group is class and part of the training rows."""
+    """Documents per (context, word) and group per batch, of groups 0 and 1 in a, of 2 and 3 in b; group is class and part of the training rows."""
     for batch in batches:
         group = batch.column("grp").to_numpy(zero_copy_only=False)
         keys = []
@@ -109,7 +116,12 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(np.unique(np.concatenate([(u << WORD_BITS) | w, single])) << 2 | int(group[row]))
         if keys:
             key, count = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count.astype(np.int64))], ["k", "n"])
+            of, which = key >> 2, key & 3
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            # two counts of 31 bits in a value
+            halves = [np.where(which == g, count, 0) + (np.where(which == g + 1, count, 0) << 32) for g in (0, 2)]
+            sums = [np.add.reduceat(h, first) for h in halves]
+            yield pa.RecordBatch.from_arrays([pa.array(of[first]), *map(pa.array, sums)], ["k", "a", "b"])
 
 
 def _evidence(model: Model, words: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -151,10 +163,10 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """(u, w, g0 to g3): documents per context and word in each of the groups of rows(text, grp)."""
-    found = prepared(rows).select("text", "grp").mapInArrow(_bigrams, "k bigint, n bigint")
-    groups = [F.sum(F.when(F.col("k").bitwiseAND(3) == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(4)]
-    counts = found.groupBy(F.shiftright("k", 2).alias("k")).agg(*groups)
-    return counts.select(F.shiftright("k", WORD_BITS).alias("u"), F.col("k").bitwiseAND(2**WORD_BITS - 1).alias("w"), "g0", "g1", "g2", "g3")
+    found = prepared(rows).select("text", "grp").mapInArrow(_bigrams, "k bigint, a bigint, b bigint")
+    counts = found.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    groups = [c for half, g in (("a", 0), ("b", 2)) for c in (F.col(half).bitwiseAND(2**32 - 1).alias(f"g{g}"), F.shiftright(half, 32).alias(f"g{g + 1}"))]
+    return counts.select(F.shiftright("k", WORD_BITS).alias("u"), F.col("k").bitwiseAND(2**WORD_BITS - 1).alias("w"), *groups)
 
 
 def _language_model(counts: DataFrame, groups: dict[int, tuple[int, ...]], pooled: np.ndarray) -> Model:
@@ -217,26 +229,47 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fit both language models and the regression on labelled rows outside fold 0.
+def _broadcast_if_few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _training(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, y, fold) of the rows to train on, one of the copies of a text, and (text, y, fold) of those whose doc_id several rows have."""
+    usable = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).withColumn("fold", fold()).filter("fold <> 0")
+    ids = _broadcast_if_few(stored(usable.withColumnRenamed("doc_id", "__id"), "labels"))
+    labelled = prepared(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y", "fold"))
+    kind = dict(docs.dtypes)["doc_id"]
+    thin = stored(labelled.mapInArrow(_thin, f"doc_id {kind}, y int, fold int, sketch binary"), "sketches")
+    several = thin.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    best = thin.join(several, "doc_id").groupBy("sketch", "y").agg(F.min(F.struct("several", "doc_id", "fold")).alias("q"))
+    best = stored(best.select("sketch", "y", "q.*"), "training")
+    again = best.filter("several").select(F.col("sketch").alias("__sketch"), F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return best.select("doc_id", "y", "fold"), labelled.select("text", "y", "fold").limit(0)
+    texts = labelled.join(again.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    texts = texts.mapInArrow(_sketched, f"doc_id {kind}, text string, y int, fold int, sketch binary")
+    texts = texts.join(again, (F.col("doc_id") == F.col("__id")) & (F.col("sketch") == F.col("__sketch")), "left_semi").dropDuplicates(["sketch", "y"])
+    return best.filter("not several").select("doc_id", "y", "fold"), stored(texts.select("text", "y", "fold"), "repeated")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit both language models and the regression on all labelled rows outside fold 0.
 
     ``labels`` has doc_id and toxic (0 or 1; null rows are ignored, of several labels the
     largest counts).  Without a row of each class, the model scores every text alike.
     """
-    usable = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).withColumn("fold", fold()).filter("fold <> 0")
-    n = usable.count()
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_rows / max(n, 1)))
-    chosen = usable.filter(part).select(F.col("doc_id").alias("__id"), "y", "fold")
-    # at most max_rows rows of three integers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y", "fold")
-    rows = stored(prepared(rows).mapInArrow(_sketched, "text string, y int, fold int, sketch binary").dropDuplicates(["sketch", "y"]).drop("sketch"), "training")
+    docs = docs.select("doc_id", "text")
+    chosen, repeated = _training(docs, labels)
+    chosen = _broadcast_if_few(chosen.withColumnRenamed("doc_id", "__id"))
     # groups: toxic and ordinary, each in the part for the models alone and the part for the regression
-    group = ((1 - F.col("y")) * 2 + (F.col("fold") == 4).cast("int")).cast("bigint")
-    counts = stored(_grouped(rows.select("text", group.alias("grp"))), "bigrams")
+    group = ((1 - F.col("y")) * 2 + (F.col("fold") == 4).cast("int")).cast("bigint").alias("grp")
+    rows = docs.join(chosen, F.col("doc_id") == F.col("__id")).select("text", "y", "fold").unionByName(repeated)
+    counts = stored(_grouped(rows.select("text", group)), "bigrams")
     context = docs.sparkSession.sparkContext
     pooled = _continuations(docs)
     early = context.broadcast(_language_model(counts, {0: (0,), 1: (2,)}, pooled))
     names = [f"f{k}" for k in range(1 + len(STRETCHES))]
+    # 36 bytes a training row of one fold
     sample = rows.filter("fold = 4").select("text", "y").mapInArrow(partial(_figures, model=early), ", ".join(["y int", *(f"{x} double" for x in names)])).toArrow()
     model = _language_model(counts, {0: (0, 1), 1: (2, 3)}, pooled)
     early.destroy()
@@ -255,14 +288,14 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return prepared(docs).select(*keep, "text").mapInArrow(partial(_scores, model=shared), fields)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; repeated rows get a row each, and a null doc_id is not held out."""
-    scored = score(docs, train(docs, labels, max_rows), "doc_id")
+    scored = score(docs, train(docs, labels), "doc_id")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below one half, with its columns."""
     packed = docs.select(F.struct("*").alias("__row"), "text")
-    model = train(docs, labels, max_rows)
+    model = train(docs, labels)
     return score(packed, model, "__row").filter("score < 0.5").select("__row.*")

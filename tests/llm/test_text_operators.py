@@ -108,6 +108,20 @@ def test_toxicity_merges_only_copies_in_training():
     assert len(set(next(toxicity._sketched(iter([batch])))["sketch"].to_pylist())) == 20
 
 
+def test_toxicity_counts_every_training_row(spark):
+    """Far more labelled rows than the former bound; one of the copies counts, and one of repeated rows."""
+    rows = [(k, f"own{k} {'vile' if k % 3 == 0 else 'calm'} end{k}") for k in range(20_000)]
+    rows += [rows[1], rows[1], (20_001, rows[3][1]), (20_002, rows[4][1]), (5, "another text of five")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(t.split()[1] == "vile")) for k, t in dict(rows[:20_000] + rows[-3:-1]).items()], "doc_id bigint, toxic int")
+    chosen, repeated = toxicity._training(docs, labels)
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    want = {(t, label[k]) for k, t in rows if k in label and zlib.crc32(str(k).encode()) % 5}
+    texts = {k: t for k, t in rows if k not in (1, 5)}
+    got = [(texts[r["doc_id"]], r["y"]) for r in chosen.collect()] + [(r["text"], r["y"]) for r in repeated.collect()]
+    assert len(got) == len(set(got)) > 15_000 and set(got) == want
+
+
 def test_kneser_ney_tables_against_a_plain_version(spark):
     rng = random.Random(6)
     rows = [(" ".join(rng.choice(["mild", "calm", "vile", "ok", f"rare{k % 9}", f"odd{k % 5}"]) for _ in range(rng.randint(0, 12))), k % 4) for k in range(160)]
