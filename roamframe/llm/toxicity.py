@@ -36,6 +36,9 @@ from roamframe.plans.workers import prepared
 #: Training rows of three integers that a join broadcasts; more are joined by a shuffle of the texts, and none is left out.
 BROADCAST_ROWS = 1 << 21
 WORD_BITS = 18
+#: The words' pairs with contexts lie in 1,024 parts of so many bits each; a task holds a part's
+#: different pairs, and so many more before it drops repeated ones.
+_PART_BITS, HELD_PAIRS = 2 * WORD_BITS - 10, 1 << 22
 #: Documents of a class from which an expression counts; absolute discount.
 MIN_EVIDENCE, DISCOUNT = 4, 0.75
 #: Lengths, in words, of the stretches whose largest mean counts.
@@ -88,19 +91,67 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id", "y", "fold", "sketch"])
 
 
+def _begins(keys: np.ndarray, low: int) -> np.ndarray:
+    """Where runs begin in sorted keys that are the same but for the bits of ``low``."""
+    return np.flatnonzero(np.r_[[True] * (len(keys) > 0), (keys[1:] ^ keys[:-1]) > low])
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted, different 32-bit keys as compressed byte planes of their steps."""
+    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different (context, word) pairs of each batch."""
+    """Different (word, context) pairs of each batch, packed by parts of the words."""
     for batch in batches:
-        keys = [np.unique((u << WORD_BITS) | w) for _, w, u in _documents(batch.column("text"))]
+        keys = [np.unique((w << WORD_BITS) | u) for _, w, u in _documents(batch.column("text"))]
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], ["k"])
+            keys = np.concatenate(keys)
+            keys.sort()
+            keys = keys[_begins(keys, 0)]
+            first = _begins(keys, 2**_PART_BITS - 1)
+            n = np.diff(first, append=len(keys))
+            inside = [_packed((keys[a : a + m] & (2**_PART_BITS - 1)).astype(np.uint32)) for a, m in zip(first, n, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[first] >> _PART_BITS, type=pa.int32()), pa.array(n, type=pa.int32()), pa.array(inside, type=pa.binary())], ["part", "n", "packed"]
+            )
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different contexts of every word, from rows of which those of a part follow each other."""
+
+    def counted(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.unique(np.concatenate(held)) >> WORD_BITS, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64) + (part << (_PART_BITS - WORD_BITS))), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    at, held, size, limit = None, [], 0, HELD_PAIRS
+    for batch in batches:
+        for part, n, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "packed")), strict=True):
+            if part != at:
+                if held:
+                    yield counted(at, held)
+                at, held, size, limit = part, [], 0, HELD_PAIRS
+            held.append(_unpacked(packed, n))
+            size += n
+            if size > limit:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                limit = max(HELD_PAIRS, 2 * size)
+    if held:
+        yield counted(at, held)
 
 
 def _continuations(docs: DataFrame) -> np.ndarray:
     """Different contexts of every word over all documents."""
-    word = F.col("k").bitwiseAND(2**WORD_BITS - 1)
+    pairs = prepared(docs.select("text")).mapInArrow(_pairs, "part int, n int, packed binary")
     # a row a bucket at most
-    found = prepared(docs.select("text")).mapInArrow(_pairs, "k bigint").distinct().groupBy(word.alias("w")).agg(F.count("*").alias("n")).toArrow()
+    found = pairs.repartition("part").sortWithinPartitions("part").mapInArrow(_contexts, "w bigint, n bigint").toArrow()
     pooled = np.zeros(2**WORD_BITS)
     pooled[found["w"].to_numpy()] = found["n"].to_numpy()
     return pooled
@@ -115,13 +166,14 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             single = (_DOCUMENT << WORD_BITS) | np.append(w, _DOCUMENT)
             keys.append(np.unique(np.concatenate([(u << WORD_BITS) | w, single])) << 2 | int(group[row]))
         if keys:
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
-            of, which = key >> 2, key & 3
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            keys = np.concatenate(keys)
+            keys.sort()
+            first = _begins(keys, 3)
+            of, group = keys[first] >> 2, (keys & 3).astype(np.int8)
+            del keys
             # two counts of 31 bits in a value
-            halves = [np.where(which == g, count, 0) + (np.where(which == g + 1, count, 0) << 32) for g in (0, 2)]
-            sums = [np.add.reduceat(h, first) for h in halves]
-            yield pa.RecordBatch.from_arrays([pa.array(of[first]), *map(pa.array, sums)], ["k", "a", "b"])
+            sums = [np.add.reduceat(np.array(one)[group], first) for one in ((1, 1 << 32, 0, 0), (0, 0, 1, 1 << 32))]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *map(pa.array, sums)], ["k", "a", "b"])
 
 
 def _evidence(model: Model, words: np.ndarray, before: np.ndarray) -> np.ndarray:

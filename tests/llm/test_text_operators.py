@@ -157,6 +157,21 @@ def test_kneser_ney_tables_against_a_plain_version(spark):
         assert model.backoff[c].sum() == pytest.approx(1)
 
 
+def test_continuation_counts_shuffle_few_bytes_a_pair(spark, monkeypatch):
+    texts = [prose(k, 300, 8000) for k in range(300)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    pairs = {(int(a), int(b)) for _, w, u in toxicity._documents(batch.column("text")) for a, b in zip(w, u)}
+    assert sum(b.nbytes for b in toxicity._pairs(iter([batch]))) < 5 * len(pairs)
+    want = np.bincount([w for w, _ in pairs], minlength=2**toxicity.WORD_BITS)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert (toxicity._continuations(docs) == want).all()
+    # overlapping batches, repeated pairs dropped again and again
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 3)
+    packed = pa.Table.from_batches(b for k in range(0, 303, 20) for b in toxicity._pairs(iter([batch.slice(k, 25)])))
+    got = pa.Table.from_batches(toxicity._contexts(iter(packed.sort_by("part").to_batches(max_chunksize=7))))
+    assert dict(zip(got["w"].to_pylist(), got["n"].to_pylist())) == {w: want[w] for w in np.flatnonzero(want)}
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0)], "doc_id bigint, toxic int")
     none = labels.limit(0)
