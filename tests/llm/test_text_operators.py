@@ -308,6 +308,29 @@ def test_large_regions_split_without_losing_a_link(spark, leaf_rows):
         assert 100 * shared >= 80 * (len(sets[r["src"]]) + len(sets[r["dst"]]) - shared)
 
 
+def test_the_joins_small_tables_take_few_tasks(spark):
+    """The driver keeps a record of every task, so small tables must not take one for each shuffle partition again and again."""
+    rows = list(enumerate(scattered(90, 60, 80, 0, 9)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    ran = lambda: sum(e.totalTasks() for e in _scala_list(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        start = ran()
+        got, _ = ngram_jaccard.near_duplicates(docs, leaf_rows=8)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == plain_components(rows)
+        assert ran() - start < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _scala_list(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
 def test_tables_of_shingles_grow_and_leave_copies_out(spark):
     """Copies of a text share no region, and a table of many shingles isn't full."""
     texts = [prose(k, 80) for k in range(30)] * 3 + family(52, 5, 80, 3) + [prose(0, 80) + " end"] * 2
