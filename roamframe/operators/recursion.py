@@ -69,11 +69,11 @@ def reset_path(inner: Column) -> Column:
     return F.struct(inner["emit"].alias("emit"), inner["children"].alias("children"), inner["siblings"].alias("siblings"), F.lit(True).alias("reset"))
 
 
-def _children(frontier: DataFrame, route: Route, step: Step) -> DataFrame:
-    """frontier rows with each child of their element as ``__child``."""
+def _children(frontier: DataFrame, route: Route, step: Step, how: str = "inner") -> DataFrame:
+    """frontier rows with each child of their element as ``__child``; a ``left`` join keeps those without, ``__parent`` tells."""
     ids = Route(route.graph, frontier.select("vid").distinct().withColumn("__s0", F.col("vid")), "vertex", ("__s0",))
     found = step(ids).df.select(F.col("__s0").alias("__of"), F.col("vid").alias("__child"))
-    return frontier.join(found, F.col("vid") == F.col("__of")).drop("__of")
+    return frontier.join(found, F.col("vid") == F.col("__of"), how).withColumn("__parent", F.col("__of").isNotNull()).drop("__of")
 
 
 def _least_of_siblings(rows: DataFrame, value: Column, name: str, level: int, scope: Sequence[str]) -> DataFrame:
@@ -99,6 +99,7 @@ def descend(
     on_silent: Callable[[Column, Column, Column], Column] | None = None,
     stop_quietly: bool = False,
     keep_repeats: bool = True,
+    leaves: bool = False,
 ) -> Route:
     """Walk from the route's vertices along ``step`` and give the elements met, start included.
 
@@ -107,11 +108,13 @@ def descend(
     ``paths`` the result is values: the path including the element.  With ``ordered`` it has
     depth-first order, siblings by id.  A branch that has emitted nothing for more than ``max_silent_levels``
     levels ends there, or goes on where ``on_silent(path, element, levels)`` holds.  ``keep_repeats`` False gives paths as ordered sets: an
-    element that closes a cycle is not written twice.
+    element that closes a cycle is not written twice.  ``leaves`` gives only elements without any children, told
+    level by level from the join that finds the children.
     """
     ordered = ordered or control is not None
     start = route.df
     carried = [c for c in route.carried if c not in ("path",)]
+    kept = list(dict.fromkeys([*carried, *(["__dewey"] if ordered else []), "vid"]))
     if ordered:
         if route.order:
             start = positioned(start, [F.col(c) for c in route.order], "__n", ())
@@ -148,18 +151,27 @@ def descend(
         grown = F.array_append(path, element)
         if not keep_repeats:
             grown = F.when(F.array_contains(path, element), path).otherwise(grown)
-        found = frontier.filter(emits).withColumn("__emit", grown).withColumn("__level", F.lit(level))
-        out = found if out is None else out.unionByName(found)
-        here = frontier.withColumn("__next", grown).withColumn("__silent", F.when(emits, 0).otherwise(F.col("__silent") + 1)).filter(expands)
+        here = frontier.withColumn("__emits", emits).withColumn("__expands", expands).withColumn("__next", grown)
+        here = here.withColumn("__silent", F.when(F.col("__emits"), 0).otherwise(F.col("__silent") + 1))
         if max_silent_levels is not None:
             goes_on = F.lit(False) if on_silent is None else F.coalesce(on_silent(F.col("__next"), element, F.col("__silent")), F.lit(False))
-            here = here.filter((F.col("__silent") <= max_silent_levels) | goes_on)
-        below = _children(here, route, step)
+            here = here.withColumn("__expands", F.col("__expands") & ((F.col("__silent") <= max_silent_levels) | goes_on))
+        if leaves:
+            family = stored(_children(here.select(*kept, "__next", "__silent", "__emits", "__expands"), route, step, "left"), "family")
+            found = family.filter(~F.col("__parent") & F.col("__emits")).withColumn("__emit", F.col("__next"))
+            below = family.filter(F.col("__parent") & F.col("__expands"))
+        else:
+            found = here.filter("__emits").withColumn("__emit", F.col("__next"))
+            below = _children(here.filter("__expands"), route, step)
+        found = found.withColumn("__level", F.lit(level)).select(*dict.fromkeys([*kept, "__emit", "__level"]))
+        out = found if out is None else out.unionByName(found)
         if ordered:
             n = F.row_number().over(W.partitionBy("__dewey", *route.scope).orderBy("__child")).cast("long")
             below = below.withColumn("__dewey", F.array_append("__dewey", n))
         keep = [*carried, *(["__dewey"] if ordered else [])]
-        frontier = stored(below.select(*keep, F.col("__child").alias("vid"), F.col("__next").alias("__path"), "__silent"), "level")
+        frontier = below.select(*keep, F.col("__child").alias("vid"), F.col("__next").alias("__path"), "__silent")
+        if not leaves or ordered:
+            frontier = stored(frontier, "level")
     order = ("__dewey",) if ordered else ()
     keep = [*carried, *order, "__level"]
     if paths:
@@ -203,22 +215,13 @@ def all_paths_with_cycles(route: Route, step: Step, depth: int | None = None, pa
     return descend(route, step, expand=_gate(depth, path_pred, element_pred, pred, True), paths=True, **more)
 
 
-def _leaves(route: Route, found: Route, step: Step) -> Route:
-    """Those of the elements that have no children at all."""
-    column = "vid" if found.kind == "vertex" else None
-    rows = found.df.withColumn("__leaf", F.col("vid") if column else F.element_at("value", -1))
-    ids = Route(route.graph, rows.select(F.col("__leaf").alias("vid")).distinct().withColumn("__s0", F.col("vid")), "vertex", ("__s0",))
-    inner = step(ids).df.select(F.col("__s0").alias("__leaf")).distinct()
-    return found._new(rows.join(inner, "__leaf", "left_anti").drop("__leaf"))
-
-
 def deepest(route: Route, step: Step, **more) -> Route:
     """The elements without children; those that only a bound cut off don't count."""
-    return _leaves(route, all_(route, step, **more), step)
+    return all_(route, step, leaves=True, **more)
 
 
 def deepest_paths(route: Route, step: Step, **more) -> Route:
-    return _leaves(route, all_paths(route, step, **more), step)
+    return all_paths(route, step, leaves=True, **more)
 
 
 def all_paths_to(route: Route, hit: Callable[[Column], Column], step: Step, paths: bool = True, **more) -> Route:

@@ -198,3 +198,17 @@ def test_silent_branches_end_or_ask(spark):
     assert found(max_silent_levels=2) == [0]
     assert found(max_silent_levels=2, on_silent=lambda path, element, levels: element >= 3) == [0, 5]
     assert found(max_silent_levels=2, on_silent=lambda path, element, levels: levels < 4) == [0]
+
+
+def test_deepest_leaves_are_told_level_by_level(spark):
+    """What is returned is read, not joined with the edges again: all paths of all levels went through one shuffle."""
+    g = Graph.from_edges(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("e", "f")], "src string, dst string"), "knows")
+    step = lambda r: r.out("knows")
+    paths = R.deepest_paths(g.V(), step).df
+    assert sorted(">".join(r["value"]) for r in paths.collect()) == ["a>b>d", "b>d", "c>a>b>d", "d", "e>f", "f"]
+    deepest = R.deepest(g.V(), step, ordered=True)
+    assert [r["vid"] for r in deepest.df.orderBy(*deepest.order).collect()] == ["d", "d", "d", "d", "f", "f"]
+    # an element that only the bound cut off is no leaf
+    assert sorted(r["vid"] for r in R.deepest(g.V(), step, depth=1).df.collect()) == ["d", "d", "f", "f"]
+    for df in (paths, R.deepest(g.V(), step).df):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
