@@ -19,7 +19,10 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamframe.plans.scratch import cut
+from roamframe.plans.scratch import cut, dealt
+
+#: ``Graph.cached`` deals edges out by an end from this number on; fewer are joined as they are.
+DEALT_EDGES = 1 << 18
 
 if TYPE_CHECKING:
     from roamframe.route import Route
@@ -94,9 +97,15 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.e.sparkSession
 
-    def cached(self) -> Graph:
-        """Both tables written once to the shared folder and reread, for loops over them."""
-        return self._with(cut(self.v), cut(self.e))
+    def cached(self, by: str | None = None) -> Graph:
+        """Both tables written once to the shared folder and reread, for loops over them.
+
+        ``by`` deals many edges out by that end and sorts them first, so that joins on it don't shuffle them again.
+        """
+        edges = cut(self.e)
+        if by is not None and edges.count() >= DEALT_EDGES:
+            edges = dealt(edges, by)
+        return self._with(cut(self.v), edges)
 
     def __repr__(self) -> str:
         return f"Graph(edge_types={self.edge_types}, settings={sorted(self.settings)})"

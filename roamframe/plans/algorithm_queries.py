@@ -28,7 +28,7 @@ def _next(r: Route) -> Route:
 
 def _firsts(spark: SparkSession, sf: str) -> tuple[Graph, Route]:
     """The chains of orders, and each customer's first order."""
-    g = T.next_order(spark, sf).cached()
+    g = T.next_order(spark, sf).cached(by="src")
     return g, g.V().where_doc(lambda d: d["nth"] == 1)
 
 

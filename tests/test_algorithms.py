@@ -212,3 +212,16 @@ def test_deepest_leaves_are_told_level_by_level(spark):
     assert sorted(r["vid"] for r in R.deepest(g.V(), step, depth=1).df.collect()) == ["d", "d", "f", "f"]
     for df in (paths, R.deepest(g.V(), step).df):
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_edges_are_not_shuffled_by_joins(spark, monkeypatch):
+    monkeypatch.setattr("roamframe.graph.DEALT_EDGES", 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = Graph.from_edges(spark.range(1000).selectExpr("id as src", "id + 1 as dst"), "next").cached(by="src")
+        out = g.V().out("next").df
+        assert out.count() == 1000
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
